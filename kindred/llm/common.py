@@ -11,6 +11,7 @@ operators:
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -20,7 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-BLOCK_BYTES = 4_000_000
+pa.set_memory_pool(pa.system_memory_pool())  # the other pools keep what is freed, and workers live long
+
+
+def tidy(f):
+    """A group function that gives freed memory back after each group, so that a worker's size is one group's."""
+
+    def trim(out):
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+        return out
+
+    if f.__code__.co_argcount == 1:  # Spark counts the arguments
+        return lambda group: trim(f(group))
+    return lambda left, right: trim(f(left, right))
+
+
+BLOCK_BYTES = 3_000_000
 MIN_BLOCKS = 64
 #: ASCII white space that separates words: 0x20 and 0x09-0x0D.
 _SPACE = np.zeros(256, bool)
@@ -152,7 +171,7 @@ def with_block(docs: DataFrame, blocks: int, id_col: str = "doc_id") -> DataFram
     return docs.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
 
 
-def pack_blocks(docs: DataFrame, cols: list[str], flush: int = 24_000_000) -> DataFrame:
+def pack_blocks(docs: DataFrame, cols: list[str], flush: int = 12_000_000) -> DataFrame:
     """Rows (block, payload) from rows that have a column block: payload is a compressed Arrow stream of cols."""
 
     def pack(batches):
@@ -197,7 +216,7 @@ def decode_table(payloads: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 19):
     """Index ranges of documents of together at most this many bytes (one longer document stands alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, decode_table, encode_table, fold_of, lowered, materialize, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, span_hashes, spans, text_bytes, unplanes
+from .common import U, buffers, decode_table, encode_table, fold_of, lowered, materialize, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, span_hashes, spans, text_bytes, tidy, unplanes
 
 HELD_FOLD = 1
 BUCKETS = 24
@@ -149,6 +149,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     src = src.withColumn("block", F.when(F.col("fold") == HELD_FOLD, blocks + F.pmod(h, F.lit(held_blocks))).otherwise(F.pmod(h, F.lit(blocks))).cast("int"))
     cols = ["doc_id", "text", "fold"]
 
+    @tidy
     def ask(t: pa.Table) -> pa.Table:
         b = Block(t)
         train, held = b.counts()
@@ -156,6 +157,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         items = [(s, encode_table(pa.table({"keys": [planes(b.keys[x:y])], "train": [narrow(train[x:y])], "held": [narrow(held[x:y])]}))) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
         return pa.table([pa.array([s for s, _ in items], pa.int32()), pa.array([t.column("block")[0].as_py()] * len(items), pa.int32()), pa.array([x for _, x in items], pa.binary())], names=["shard", "block", "payload"])
 
+    @tidy
     def add(t: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
         keys = [unplanes(p.column("keys")[0].as_py()) for p in parts]
@@ -183,6 +185,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             train[x:y], held[x:y] = (widen(got.column(c)[0].as_py(), y - x) for c in ("train", "held"))
         return train, held
 
+    @tidy
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int64())], names=["bucket", "s2", "s1", "n"])
@@ -199,6 +202,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     found = np.array([tuple(r) for r in found.groupBy("bucket", "s2", "s1").agg(F.sum("n")).collect()], np.int64).reshape(-1, 4)
     weights = learn_weights(found[:, :3], found[:, 3].astype(np.float64), vocabulary)
 
+    @tidy
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table([pa.array([], k) for k in kinds], names=names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix
+from .common import U, mix, tidy
 
 DIMS, BITS = 4, 10
 SAMPLE = 4000
@@ -148,6 +148,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     bounds = _bounds(known, ranges)
     dealt = src.mapInArrow(lambda bs: encoded(bs, bounds, False), "range int, hkey long, tie long, doc_id long, ids binary")
 
+    @tidy
     def lay(t: pa.Table) -> pa.Table:
         enc_type = encoder(path).dtype
         hkey, tie = t.column("hkey").to_numpy(), t.column("tie").to_numpy()

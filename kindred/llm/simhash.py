@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, lowered, materialize, mix, pieces, spans
+from .common import U, buffers, lowered, materialize, mix, pieces, spans, tidy
 from .components import components
 
 LEAVES = 20_000
@@ -273,6 +273,7 @@ def trie_links(classes: DataFrame, lanes: int, slices: int, budget: int, limit:
         if held:
             yield from emit()
 
+    @tidy
     def solve(t: pa.Table) -> pa.Table:
         task = t.column("task")[0].as_py()
         node = np.frombuffer(b"".join(t.column("nodes").to_pylist()), np.int64)

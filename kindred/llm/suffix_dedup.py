@@ -7,7 +7,8 @@ steps, each over whole texts in blocks, with keys dealt to shards by range:
    Equal strings have equal keys, so a string whose key occurs in one document alone can't repeat elsewhere and
    needs no more work.  This loses no repeat.
 2. *Construction.*  What remains is cut into segments of consecutive strings with one key; equal segments of a
-   block are merged (smallest document id).  A shard inserts one symbol per segment each round, from the last
+   block are merged (smallest document id).  A symbol is PACKED bytes, so each segment is one string of symbols a
+   phase and a round moves that many bytes.  A shard inserts one symbol per string each round, from the last
    symbol to the first, and updates the collection's Burrows-Wheeler transform, the common prefix lengths and the
    suffix identifiers, which are read and rewritten in sequence (``Column``; in memory while small, else a file).
    Suffixes whose common prefixes reach ``length`` form a class of equal strings; its smallest id is sent back.
@@ -32,44 +33,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U, buffers, decode_table, encode_table, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, text_bytes, unplanes, with_block
+from .common import U, buffers, decode_table, encode_table, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, text_bytes, tidy, unplanes, with_block
 
 K = 16
 SHARD_BYTES = 8_000_000
-BATCH_SEGMENTS = 4096
+BATCH_SEGMENTS = 1024
+SEEDS = 8
 FILE_BYTES = 32_000_000
+#: Bytes a symbol, the first that divides the length: strings of 50 bytes are 10 symbols, at each of 5 phases.
+PACKED = (5, 4, 3, 2, 1)
 NONE = np.iinfo(np.int64).max
 
 
 # Candidates -------------------------------------------------------------------------------------------------
 
 
-def window_keys(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position the least hash of the K-byte strings within the ``length`` bytes that start there."""
+def window_keys(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """For each position the least hash of the K-byte strings within the ``length`` bytes that start there; each
+    seed is another hash."""
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     x = np.concatenate((data, np.zeros(K, np.uint8))).astype(np.uint64)
     for s in (1, 2, 4):
         x = x[:-s] | (x[s:] << U(8 * s))
-    h = mix(x[:-8] * U(0x9E3779B97F4A7C15) + (x[8:] ^ (x[8:] >> U(31))) * U(0xD6E8FEB86659FD93))[: len(data) - K + 1]
+    h = mix(x[:-8] * U(0x9E3779B97F4A7C15) + (x[8:] ^ (x[8:] >> U(31))) * U(0xD6E8FEB86659FD93 + 2 * seed))[: len(data) - K + 1]
     want, have = length - K + 1, 1
     while 2 * have <= want:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
     if have < want:
         h = np.minimum(h[: have - want], h[want - have :])
-    return h[:n]
+    return mix(h[:n])  # least hashes crowd near zero; keys are dealt by range
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int):
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0):
     """Runs of string starts with one key inside one document, of at most length - K + 1 starts:
     (first position, number of starts, key, document) arrays."""
     most = length - K + 1
     out: list[list[np.ndarray]] = [[], [], [], []]
     for i, j in pieces(offsets):
         a, b = int(offsets[i]), int(offsets[j])
-        v = window_keys(data[a:b], length)
+        v = window_keys(data[a:b], length, seed)
         if not len(v):
             continue
         size = np.diff(offsets[i : j + 1])
@@ -142,8 +147,10 @@ def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
     m = len(ends)
     most = int(sizes.max(initial=0))
     wide = np.uint8 if most < 255 else np.int32
-    sym_file, lcp_file, id_file = Column(np.uint16), Column(wide), Column(np.int64)
-    sym_file.write(np.where(sizes > 0, flat[np.maximum(ends - 1, 0)].astype(np.uint16) + 1, 0))
+    kind = np.uint16 if int(flat.max(initial=0)) < 65535 else np.int32
+    flat = np.concatenate((flat, [0])).astype(kind) + kind(1)
+    sym_file, lcp_file, id_file = Column(kind), Column(wide), Column(np.int64)
+    sym_file.write(np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], 0))
     lcp_file.write(np.zeros(m, wide))
     id_file.write((np.arange(m, dtype=np.int64) << 32) | sizes)
     at = np.arange(m)  # where each string's longest suffix so far stands
@@ -152,12 +159,12 @@ def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
         fresh = np.full(len(sym), -1, np.int32)
         live = np.flatnonzero(sizes >= j)
         fresh[at[live]] = live
-        order = np.argsort(sym if int(sym.max()) > 255 else sym.astype(np.uint8), kind="stable")
+        order = np.argsort(sym, kind="stable")
         order = order[np.searchsorted(sym[order], 1) :]
         who = fresh[order]
         new = who >= 0
         n = len(order)
-        nsym, nlcp, nid = np.empty(m + n, np.uint16), np.empty(m + n, wide), np.empty(m + n, np.int64)
+        nsym, nlcp, nid = np.empty(m + n, kind), np.empty(m + n, wide), np.empty(m + n, np.int64)
         nsym[:m], nlcp[:m], nid[:m] = sym[:m], lcp[:m], ident[:m]
         old = m + np.flatnonzero(~new)
         nsym[old], nlcp[old], nid[old] = sym[m:], lcp[m:], ident[m:]
@@ -165,7 +172,7 @@ def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
         s = who[spot]
         left = sizes[s] - j
         nid[m + spot] = (s.astype(np.int64) << 32) | left
-        nsym[m + spot] = np.where(left > 0, flat[np.maximum(ends[s] - j - 1, 0)].astype(np.uint16) + 1, 0)
+        nsym[m + spot] = np.where(left > 0, flat[np.maximum(ends[s] - j - 1, 0)], 0)
         at[s] = m + spot
         check = np.zeros(n + 1, bool)
         check[spot] = True
@@ -185,8 +192,18 @@ def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
 
 def class_minima(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """For each string of ``length`` bytes (in order of segment and start) the least id among its equals."""
-    string, start, lcp = sorted_suffixes(flat, ends, sizes)
-    head = np.flatnonzero(lcp < length)
+    q = next(x for x in PACKED if length % x == 0)
+    word = np.zeros(len(flat), np.uint64)
+    for k in range(q):
+        word[: len(flat) - k] = (word[: len(flat) - k] << U(8)) | flat[k:]
+    first = ends - sizes
+    n_sym = np.maximum(0, (sizes[:, None] - np.arange(q)[None, :]) // q).ravel()
+    sub_ends = np.cumsum(n_sym)
+    at = np.repeat((first[:, None] + np.arange(q)[None, :]).ravel() - q * (sub_ends - n_sym), n_sym) + q * np.arange(int(sub_ends[-1]))
+    _, symbols = np.unique(word[at], return_inverse=True)
+    string, start, lcp = sorted_suffixes(symbols, sub_ends, n_sym)
+    string, start = string // q, string % q + q * start
+    head = np.flatnonzero(lcp * q < length)
     least = np.minimum.reduceat(docs[string], head) if len(head) else docs[:0]
     value = np.repeat(least, np.diff(head, append=len(lcp)))
     n = sizes - length + 1
@@ -197,6 +214,41 @@ def class_minima(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray, docs: np
     return out
 
 
+def least_ids(data: np.ndarray, pos: np.ndarray, size: np.ndarray, docs: np.ndarray, key: np.ndarray, length: int, seed: int = 0):
+    """For each string of ``length`` bytes in the segments the least id among its equals: (values, first of each
+    segment's values, number of its strings).
+
+    Equal segments are merged, and whole keys are taken together, about BATCH_SEGMENTS segments at a time.  A key
+    with more (a very common K-byte string in many surroundings) is cut again by the keys of another hash.
+    """
+    a, b = digests(data, pos, size)
+    order = np.lexsort((docs, b, a, key))
+    k, a, b = key[order], a[order], b[order]
+    head = np.ones(len(k), bool)
+    head[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    of = np.empty(len(k), np.int64)
+    of[order] = np.cumsum(head) - 1
+    one = order[head]  # one of each distinct segment, in order of key, with its least id
+    edge = np.flatnonzero(np.concatenate(([True], key[one][1:] != key[one][:-1], [True]))) if len(one) else np.zeros(1, np.int64)
+    n = size[one] - length + 1
+    base = np.cumsum(n) - n
+    values = np.empty(int(n.sum()), np.int64)
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + BATCH_SEGMENTS, "right")) - 1)
+        mine = one[edge[i] : edge[j]]
+        flat, ends = gather(data, pos[mine], size[mine]), np.cumsum(size[mine])
+        if len(mine) > BATCH_SEGMENTS and seed < SEEDS:
+            p, m, again, doc = runs_of(flat, np.concatenate(([0], ends)), length, seed + 1)
+            got, first, count = least_ids(flat, p, m + length - 1, docs[mine][doc], again, length, seed + 1)
+            got = gather(got, first, count)
+        else:
+            got = class_minima(flat, ends, size[mine], docs[mine], length)
+        values[base[edge[i]] : base[edge[i]] + len(got)] = got
+        i = j
+    return values, base[of], n[of]
+
+
 # Blocks -----------------------------------------------------------------------------------------------------
 
 
@@ -247,7 +299,7 @@ class Block:
         return first, self.ids[self.doc[first]], of_run
 
 
-def digests(data: np.ndarray, pos: np.ndarray, size: np.ndarray, step: int = 200_000):
+def digests(data: np.ndarray, pos: np.ndarray, size: np.ndarray, step: int = 16_000):
     """Two 64-bit digests of each stretch; overlapping stretches are fine."""
     out = (np.empty(len(pos), np.uint64), np.empty(len(pos), np.uint64))
     for i in range(0, len(pos), step):
@@ -288,12 +340,14 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
     blocks, shards = n_blocks(total), max(64, -(-total // SHARD_BYTES))
     packed = pack_blocks(with_block(src, blocks), src.columns)
 
+    @tidy
     def ask(t: pa.Table) -> pa.Table:
         b = Block(t, length)
         keys, many = b.keys()
         edge = shard_edges(keys, shards)
         return _rows(t.column("block")[0].as_py(), [(s, {"keys": [planes(keys[x:y])], "many": [np.packbits(many[x:y]).tobytes()]}) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x])
 
+    @tidy
     def share(t: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
         keys = [unplanes(p.column("keys")[0].as_py()) for p in parts]
@@ -311,6 +365,7 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
     def answers(t: pa.Table) -> dict[int, pa.Table]:
         return {s.as_py(): pa.ipc.open_stream(p.as_buffer()).read_all() for s, p in zip(t.column("shard"), t.column("payload"), strict=True)}
 
+    @tidy
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return _rows(0, [])
@@ -325,6 +380,7 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
                 items.append((s, {"keys": [planes(key[x:y])], "size": [size.astype("<u2").tobytes()], "least": [least[x:y].astype("<i8").tobytes()], "bytes": [gather(b.data, b.pos[first[x:y]], size).tobytes()]}))
         return _rows(left.column("block")[0].as_py(), items)
 
+    @tidy
     def build(t: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
         col = lambda name, kind: [np.frombuffer(p.column(name)[0].as_py(), kind) for p in parts]
@@ -333,33 +389,15 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
         docs_, data = np.concatenate(col("least", "<i8")), np.concatenate(col("bytes", np.uint8))
         pos = np.cumsum(size) - size
         key = np.concatenate(keys)
-        da, db = digests(data, pos, size)
-        order = np.lexsort((docs_, db, da, key))
-        k, a, c = key[order], da[order], db[order]
-        head = np.ones(len(k), bool)
-        head[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        of = np.empty(len(k), np.int64)
-        of[order] = np.cumsum(head) - 1
-        one = order[head]  # one of each distinct segment, in order of key, with its least id
-        turn = np.flatnonzero(np.concatenate(([True], key[one][1:] != key[one][:-1])))
-        n_starts = size[one] - length + 1
-        base = np.cumsum(n_starts) - n_starts
-        values = np.empty(int(n_starts.sum()), np.int64)
-        x = 0
-        while x < len(one):  # whole keys together, about BATCH_SEGMENTS segments at a time
-            i = int(np.searchsorted(turn, x + BATCH_SEGMENTS, "right")) - 1
-            y = int(turn[i]) if turn[i] > x else int(turn[i + 1]) if i + 1 < len(turn) else len(one)
-            y = len(one) if len(one) - x <= BATCH_SEGMENTS else y
-            mine = one[x:y]
-            values[base[x] : base[y - 1] + n_starts[y - 1]] = class_minima(gather(data, pos[mine], size[mine]), np.cumsum(size[mine]), size[mine], docs_[mine], length)
-            x = y
+        values, base, n_starts = least_ids(data, pos, size, docs_, key, length)
         out, at = [], 0
         for n in map(len, keys):
-            mine = of[at : at + n]
+            mine = slice(at, at + n)
             out.append(encode_table(pa.table({"least": [gather(values, base[mine], n_starts[mine]).astype("<i8").tobytes()]})))
             at += n
         return pa.table([t.column("shard"), t.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "payload"])
 
+    @tidy
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return empty

@@ -181,6 +181,26 @@ def test_sorted_suffixes(monkeypatch):
                 assert lcp[i] == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+@pytest.mark.parametrize("batch", [2, 1024])
+def test_least_ids(monkeypatch, batch):
+    """Keys with more segments than a batch are cut again, and lose nothing."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_SEGMENTS", batch)
+    core = b"a common string of some length, "
+    segs = [bytes(RNG.choice(b"xy") for _ in range(RNG.randint(10, 20))) + core + bytes(RNG.choice(b"pq") for _ in range(RNG.randint(10, 20))) for _ in range(60)]
+    segs += segs[:10]
+    ids = np.array([RNG.randint(0, 50) for _ in segs])
+    size = np.array([len(x) for x in segs])
+    data = np.frombuffer(b"".join(segs), np.uint8)
+    pos = np.cumsum(size) - size
+    values, base, n = suffix_dedup.least_ids(data, pos, size, ids, np.ones(len(segs), np.uint64), 40)
+    least = {}
+    for x, i in zip(segs, ids.tolist()):
+        for p in range(len(x) - 39):
+            least[x[p : p + 40]] = min(least.get(x[p : p + 40], 99), i)
+    for k, x in enumerate(segs):
+        assert values[base[k] : base[k] + n[k]].tolist() == [least[x[p : p + 40]] for p in range(len(x) - 39)]
+
+
 # 3 url filter
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
