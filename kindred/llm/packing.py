@@ -16,7 +16,9 @@ no pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,16 @@ from .common import U, mix, tidy
 DIMS, BITS = 4, 10
 SAMPLE = 4000
 RANGE_BYTES = 8_000_000
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 600_000
 _CACHE: dict = {}
-_BLANK = {c: " " for c in range(9, 14)}
+_BLANKS = re.compile("[ \t-\r]")
+#: Controls at which str.split() cuts, although the tokenizer doesn't take them for white space.
+_NOT_BLANK = tuple(map(chr, range(0x1C, 0x20)))
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space: each stretch between ASCII white space is
-    encoded once by the library and kept (up to MEMO_ENTRIES of them)."""
+    """Ids of whole texts from a tokenizer that drops white space: each stretch between white space is encoded
+    once by the library and kept (up to MEMO_ENTRIES of them)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,20 +48,20 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         n = self.tok.get_vocab_size()
+        self.dtype, self.code = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
         grid = mix(np.arange(n * DIMS, dtype=np.uint64) + U(1))
         self.axes = ((grid >> U(11)).astype(np.float64) / 2**53 - 0.5).reshape(n, DIMS) * np.sqrt(12)
         self.memo: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.translate(_BLANK).split(" ") for t in texts]
+        cut = [_BLANKS.split(t) if any(c in t for c in _NOT_BLANK) else t.split() for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = {"": b""}
         new = [w for w in set().union(*cut) if w not in self.memo] if cut else []
         for i in range(0, len(new), 4096):
             for w, e in zip(new[i : i + 4096], self.tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+                self.memo[w] = array(self.code, e.ids).tobytes()
         get = self.memo.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -143,8 +147,9 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys), part.column(1), part.column(0), pa.array(ids, pa.binary())], ["range", "hkey", "tie", "doc_id", "ids"])
 
     keep = max(1, -(-count // SAMPLE)) if count else 1
-    seen = src.where(F.pmod(F.xxhash64("tie"), F.lit(keep)) == 0).limit(2 * SAMPLE)
-    known = sorted(map(tuple, seen.mapInArrow(lambda bs: encoded(bs, None, True), "hkey long, tie long, n long").collect()))
+    seen = src.where(F.pmod(F.xxhash64("tie"), F.lit(keep)) == 0)
+    seen = seen.mapInArrow(lambda bs: encoded(bs, None, True), "hkey long, tie long, n long")
+    known = sorted(map(tuple, seen.groupBy("hkey", "tie").agg(F.sum("n")).orderBy("tie").limit(2 * SAMPLE).collect()))
     bounds = _bounds(known, ranges)
     dealt = src.mapInArrow(lambda bs: encoded(bs, bounds, False), "range int, hkey long, tie long, doc_id long, ids binary")
 
