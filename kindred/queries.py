@@ -147,9 +147,29 @@ def token_jaccard(spark, sf_dir):
     return _exact_pairs(spark, sf_dir).select("s1", "cid", S.jaccard(c("l_a_toks"), c("r_a_toks")).alias("v"))
 
 
-@query()
+_WORDS = f"list_filter(string_split(nn, ' '), lambda t: t <> '' AND NOT list_contains({LIST(X.INDUSTRY + X.STOP_LONG)}, t))"
+_STREET = f"coalesce(list_filter(string_split(na, ' '), lambda t: length(t) >= 4 AND NOT list_contains({LIST(X.STOP_LONG)}, t) AND NOT regexp_matches(t, '^[0-9]+$'))[1], '')"
+V10_SQL = f"""{F_SQL}, g AS (
+  SELECT *, CASE WHEN len(toks) >= 2 THEN array_to_string(list_sort(toks), ' ') ELSE '' END AS sorted_core, {_STREET} AS s_tok, coalesce(list_filter({_WORDS}, lambda t: length(t) >= 5)[1], '') AS brand,
+    list_distinct(list_transform(generate_series(1, greatest(length(replace(nn, ' ', '')) - 2, 1)), lambda i: substr(replace(nn, ' ', ''), i, 3))) AS grams
+  FROM f), k AS (
+  SELECT entity_id, src, c, 'exact' AS channel, nn AS key, NULL AS most FROM g
+  UNION ALL SELECT entity_id, src, c, 'core', core, NULL FROM g WHERE core <> '' AND core <> nn
+  UNION ALL SELECT entity_id, src, c, 'sorted', sorted_core, NULL FROM g WHERE sorted_core <> '' AND sorted_core <> core
+  UNION ALL SELECT entity_id, src, c, 'prefix', b_num || '|' || left(nn, 4), 6 FROM g WHERE b_num > 0 AND length(nn) >= 4
+  UNION ALL SELECT entity_id, src, c, 'anchor', b_num || '|' || s_tok, 1 FROM g WHERE b_num > 0 AND s_tok <> ''
+  UNION ALL SELECT entity_id, src, c, 'token_street', brand || '|' || s_tok, 4 FROM g WHERE brand <> '' AND s_tok <> ''
+  UNION ALL SELECT entity_id, src, c, 'pin', post || '|' || left(nn, 4), 3 FROM g WHERE post <> '' AND length(nn) >= 4), t AS (
+  SELECT *, count(*) OVER (PARTITION BY c, channel, key) AS n FROM k WHERE src <> 'S1'), candidates AS (
+  SELECT DISTINCT k.entity_id AS s1, t.entity_id AS cid FROM k JOIN t ON k.src = 'S1' AND k.c = t.c AND k.channel = t.channel AND k.key = t.key AND t.n <= coalesce(t.most, t.n))"""
+
+
+@query(f"WITH {V10_SQL} SELECT s1, cid, {JACC.format(a='l.grams', b='r.grams')} AS v FROM candidates JOIN g l ON l.entity_id = s1 JOIN g r ON r.entity_id = cid")
 def trigram_jaccard(spark, sf_dir):
-    return engine.scored_pairs(fixtures.part_records(spark, sf_dir), "v10")[1].groupBy("channel").agg(F.count("*").alias("n"))
+    """Over the candidates of v10, each pair once; exact pairs alone would all have 1."""
+    f = _features(spark, sf_dir, "v10")
+    pairs = blocking.candidates(f, PROFILES["v10"]).select("s1", "cid").distinct()
+    return blocking.paired(pairs, f).select("s1", "cid", S.jaccard(c("l_grams"), c("r_grams")).alias("v"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT s1, cid, coalesce(lp <> '' AND rp <> '' AND lp <> rp, false) AS postcode_veto, (lb > 0 AND rb > 0 AND abs(lb - rb) > 2) AS building_veto, ((lb > 0 AND lb = rb) OR (lp <> '' AND lp = rp) OR len(list_intersect(la, ra)) > 0) AS proof FROM pairs")

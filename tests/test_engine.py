@@ -146,3 +146,20 @@ def test_stream_equals_batch(spark, tmp_path):
     matching.write_matches(matching.stream_scores(ref, stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("s1", "src", "cid").agg(F.max("score")).collect()}
     assert got == {tuple(r) for r in selection.max_merge(engine.scored_pairs(records, "v13")[1]).collect()}
+
+
+def test_trigram_jaccard(spark):
+    """The query's rows against its SQL, and against trigrams of the names taken apart here."""
+    import duckdb
+
+    from kindred import queries
+
+    got = {(r["s1"], r["cid"]): r["v"] for r in queries.trigram_jaccard(spark, SF).collect()}
+    assert len(got) == queries.trigram_jaccard(spark, SF).count() and len({*got.values()}) > 10
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+        want = {(a, b): v for a, b, v in db.execute(queries.ORACLE_SQL["trigram_jaccard"]).fetchall()}
+    assert got == pytest.approx(want, abs=1e-12)
+    flat = {r["entity_id"]: r["business_name"].lower().replace(" ", "") for r in fixtures.part_records(spark, SF).collect()}
+    grams = {k: {t[i : i + 3] for i in range(max(1, len(t) - 2))} for k, t in flat.items()}
+    assert all(v == pytest.approx(len(grams[a] & grams[b]) / len(grams[a] | grams[b])) for (a, b), v in got.items())
