@@ -4,7 +4,9 @@ Rules name a host suffix and a path prefix; the longest rule that fits decides.
 labelled ones: the trees learn the verdict from their lexical features (length, depth, digit ratio, entropy,
 number of parameters, share of blocked urls under the last one and two labels of the host) and judge the rest.
 Features, rules and trees are all built-in column expressions, so scoring stays inside the JVM; only at most
-SAMPLE labelled feature rows, in the order of a hash of the url, come to the driver for fitting.
+SAMPLE labelled feature rows, in the order of a hash of the url, come to the driver for fitting the trees.  Block
+rates are counted over all labelled urls for every suffix: the LITERAL commonest suffixes are a map in the plan, the
+others are joined, so that a common suffix never is one task's join key.
 
 Defined cases: a null url or one without ``://`` has empty host and path and is judged by the trees on zero
 features; without labelled urls, or with one verdict only, every other url gets that verdict (allow if none);
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000
-SUFFIXES = 200
+LITERAL = 200
 TREES, DEPTH, BINS, RATE = 20, 3, 32, 0.3
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "params", "suffix1", "suffix2"]
 
@@ -70,13 +72,19 @@ def _plogp(p: Column) -> Column:
 class Trees:
     """Boosted regression trees: nested (feature, threshold, left, right) or a leaf value."""
 
-    def __init__(self, bias: float, trees: list, rates: list[dict[str, float]], prior: float):
-        self.bias, self.trees, self.rates, self.prior = bias, trees, rates, prior
+    def __init__(self, bias: float, trees: list, rates: list[dict[str, float]], prior: float, others: list[DataFrame | None] | None = None):
+        self.bias, self.trees, self.rates, self.prior, self.others = bias, trees, rates, prior, others or [None] * len(rates)
 
     def with_suffix_rates(self, df: DataFrame) -> DataFrame:
-        for k, rates in enumerate(self.rates, 1):
+        for k, (rates, others) in enumerate(zip(self.rates, self.others, strict=True), 1):
             known = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]) if rates else None
-            df = df.withColumn(f"suffix{k}", F.coalesce(F.try_element_at(known, F.col(f"s{k}")), F.lit(self.prior)) if rates else F.lit(self.prior))
+            rate = F.try_element_at(known, F.col(f"s{k}")) if rates else F.lit(None).cast("double")
+            if others is None:
+                df = df.withColumn(f"suffix{k}", F.coalesce(rate, F.lit(self.prior)))
+                continue
+            spread = F.concat(F.lit("\x01"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)).cast("string"))  # no host has this
+            df = df.withColumns({f"suffix{k}": rate, "other": F.when(rate.isNull(), F.col(f"s{k}")).otherwise(spread)})
+            df = df.join(others, "other", "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", "rate", F.lit(self.prior))).drop("other", "rate")
         return df
 
     def margin(self) -> Column:
@@ -127,23 +135,24 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fit on at most ``sample`` rows of lexical features with a verdict."""
-    rows = labelled.select("length", "depth", "digit_ratio", "entropy", "params", "s1", "s2", (F.col("verdict") == "block").cast("int").alias("y"), F.xxhash64("url").alias("k"), "url").orderBy("k", "url").limit(sample).collect()
-    y = np.array([r["y"] for r in rows], float)
-    prior = float((y.sum() + 0.5) / (len(y) + 2)) if len(y) else 0.0
-    if not len(y) or y.min() == y.max():
-        return Trees(-10.0 if not len(y) or y[0] == 0 else 10.0, [], [{}, {}], prior)
-    rates = []
+    """Block rates over all rows with a verdict, and trees on at most ``sample`` of them."""
+    labelled = labelled.select("length", "depth", "digit_ratio", "entropy", "params", "s1", "s2", (F.col("verdict") == "block").cast("int").alias("y"), F.xxhash64("url").alias("k"), "url")
+    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    prior = float((blocked + 0.5) / (n + 2)) if n else 0.0
+    if blocked in (0, n):
+        return Trees(-10.0 if not blocked else 10.0, [], [{}, {}], prior)
+    rates, others = [], []
     for s in ("s1", "s2"):
-        seen: dict[str, list[float]] = {}
-        for r, v in zip(rows, y, strict=True):
-            t = seen.setdefault(r[s], [0, 0])
-            t[0] += v
-            t[1] += 1
-        most = sorted(seen, key=lambda k: (-seen[k][1], k))[:SUFFIXES]
-        rates.append({k: (seen[k][0] + prior) / (seen[k][1] + 1) for k in most})
-    x = np.array([[r["length"], r["depth"], r["digit_ratio"], r["entropy"], r["params"], rates[0].get(r["s1"], prior), rates[1].get(r["s2"], prior)] for r in rows], float)
-    return Trees(*fit_trees(x, y), rates, prior)
+        seen = labelled.groupBy(F.col(s).alias("other")).agg(((F.sum("y") + prior) / (F.count("*") + 1)).alias("rate"), F.count("*").alias("n"))
+        most = seen.orderBy(F.desc("n"), "other").limit(LITERAL + 1).collect()
+        rates.append({r["other"]: r["rate"] for r in most[:LITERAL]})
+        others.append(seen.where(~F.col("other").isin(list(rates[-1]))).select("other", "rate") if len(most) > LITERAL else None)
+    model = Trees(0.0, [], rates, prior, others)
+    rows = model.with_suffix_rates(labelled.orderBy("k", "url").limit(sample)).select("k", "url", "y", *FEATURES).collect()
+    rows.sort(key=lambda r: (r["k"], r["url"]))
+    x, y = np.array([[r[f] for f in FEATURES] for r in rows], float), np.array([r["y"] for r in rows], float)
+    model.bias, model.trees = fit_trees(x, y)
+    return model
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
