@@ -4,13 +4,14 @@ Pivots (a bounded sample of the vectors; any choice gives the same result) cut q
 cell's summary holds its size, its radius and the distances of the k + 1 vectors nearest to the pivot.  With
 q.x = q.p + q.(x - p), a summary bounds every score in the cell: at most q.p + |q| radius, and one of at least
 q.p - |q| d for each listed distance d.  The (k + 1)-th best of those is a floor under each query's k-th score
-(one of the vectors may be the query itself); a cell goes only to query groups for which its upper bound reaches
+(one of the vectors may be the query itself; with c rows of its id it is the (k + c)-th best); a cell goes only to query groups for which its upper bound reaches
 a floor.  Each pair of a query group and a block of a cell is solved locally; the few best per query are merged.
 Blocks and groups have at most BLOCK_ROWS and GROUP_ROWS rows, however many vectors share a cell.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of different
 lengths are compared over their common prefix (the rest counts as zero); ties go to the smaller vec_id; repeated
-ids are candidates each, except the query's own id; fewer than k candidates give fewer rows.
+ids are candidates each, except the query's own id; of query rows that share an id only the one with the smallest
+vector asks; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -115,17 +116,22 @@ def top_k(df: DataFrame, k: int = 20, query_mod: int = 20) -> DataFrame:
             if not b.num_rows:
                 continue
             q = _matrix(b.column(1), dim).astype(np.float64)
-            cell, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
+            cell, ids, copies = b.column(2).to_numpy(), b.column(0).to_numpy(), b.column(3).to_numpy()
             dot, norm = q @ pivots.T, np.sqrt((q * q).sum(1))
             low = (dot[:, :, None] - norm[:, None, None] * near[None]).reshape(len(q), -1)
-            floor = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1] if low.shape[1] > k else np.full(len(q), -np.inf)
+            floor = np.full(len(q), -np.inf)
+            for c in np.unique(copies):
+                at = low.shape[1] - k - int(c)
+                if at >= 0:
+                    floor[copies == c] = np.partition(low[copies == c], at, axis=1)[:, at]
             floor = np.floor(floor - slack * (1 + np.abs(floor)))
             high = np.where(size > 0, dot + norm[:, None] * np.maximum(radius, 0), -np.inf)
             need = high + slack * (1 + np.abs(high)) >= floor[:, None]
             g = [group[c] + (int(i) // query_mod) % split[c] for c, i in zip(cell.tolist(), ids.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g, pa.int32()), pa.array(floor), pa.array([np.flatnonzero(x).tolist() for x in need], pa.list_(pa.int32()))], ["vec_id", "v", "grp", "floor", "need"])
 
-    asked = placed.where(F.pmod("vec_id", F.lit(query_mod)) == 0).mapInArrow(reach, "vec_id long, v array<long>, grp int, floor double, need array<int>")
+    once = placed.where(F.pmod("vec_id", F.lit(query_mod)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("q"), F.count("*").alias("copies"))
+    asked = once.select("vec_id", "q.v", "q.cell", "copies").mapInArrow(reach, "vec_id long, v array<long>, grp int, floor double, need array<int>")
     n_subs = F.element_at(F.array(*[F.lit(int(s)) for s in subs]) if len(subs) else F.array(F.lit(1)), F.col("cell") + 1)
     wanted = asked.select(F.explode("need").alias("cell"), "grp").distinct()
     data = placed.join(wanted, "cell").select("grp", "cell", F.pmod(F.xxhash64("vec_id"), n_subs).cast("int").alias("sub"), "vec_id", "v")
