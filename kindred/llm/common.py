@@ -235,6 +235,23 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(a.T).view(">u8").reshape(-1).astype(np.uint64)
 
 
+def gather(data: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches one behind the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(pos - (ends - size), size)]
+
+
+def binary_column(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Binary cells over the items values[edge[i]:edge[i + 1]], without a copy."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Which of equal ranges of the 64-bit space each key lies in; never falls as keys rise."""
+    return (((keys >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
+
+
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     """Positions that cut sorted keys into equal ranges of the 64-bit space."""
     bounds = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)

@@ -6,8 +6,9 @@ cell's Hilbert index is the document's key.  Documents are range-sorted by key,
 sequences.  Every range packs its documents one behind the other into sequences of ``size`` ids and cuts its last
 sequence into powers of two, which need no padding: nothing is padded at all.
 
-The bounds of the ranges come from a bounded sample of documents (SAMPLE); they balance the tasks and decide
-nothing else.  Equal keys (copies) are dealt by a hash of the id, so a large group of copies spans many ranges.
+The bounds of the ranges come from a sample that grows with their number (PER_RANGE documents a range, SAMPLE at
+least; 24 bytes each come to the driver); they balance the tasks and decide nothing else.  Equal keys (copies) are
+dealt by a hash of the id, so a large group of copies spans many ranges.
 
 Defined cases: null text is empty and gives its end id alone; repeated rows are packed each; an empty table gives
 no pieces; other columns are ignored.
@@ -15,60 +16,29 @@ no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, tidy
+from .common import U, binary_column, buffers, gather, mix, tidy
+from .word_bpe import WordEncoder
 
 DIMS, BITS = 4, 10
-SAMPLE = 4000
-RANGE_BYTES = 8_000_000
-MEMO_ENTRIES = 600_000
+SAMPLE, PER_RANGE = 4000, 20
+RANGE_BYTES = 32_000_000
+BATCH_IDS = 1 << 22
 _CACHE: dict = {}
-_BLANKS = re.compile("[ \t-\r]")
-#: Controls at which str.split() cuts, although the tokenizer doesn't take them for white space.
-_NOT_BLANK = tuple(map(chr, range(0x1C, 0x20)))
-
-
-class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space: each stretch between white space is encoded
-    once by the library and kept (up to MEMO_ENTRIES of them)."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        n = self.tok.get_vocab_size()
-        self.dtype, self.code = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
-        grid = mix(np.arange(n * DIMS, dtype=np.uint64) + U(1))
-        self.axes = ((grid >> U(11)).astype(np.float64) / 2**53 - 0.5).reshape(n, DIMS) * np.sqrt(12)
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_BLANKS.split(t) if any(c in t for c in _NOT_BLANK) else t.split() for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {"": b""}
-        new = [w for w in set().union(*cut) if w not in self.memo] if cut else []
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self.memo[w] = array(self.code, e.ids).tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-
-def encoder(path: str) -> WordEncoder:
+
+
+def encoder(path: str) -> tuple[WordEncoder, np.ndarray]:
+    """The tokenizer of a Python worker and the axes of its ids: DIMS values of variance 1 for each."""
     if path not in _CACHE:
-        _CACHE[path] = WordEncoder(path)
+        enc = WordEncoder(path)
+        grid = mix(np.arange(enc.size_of_vocabulary * DIMS, dtype=np.uint64) + U(1))
+        _CACHE[path] = enc, np.ascontiguousarray((((grid >> U(11)).astype(np.float64) / 2**53 - 0.5) * np.sqrt(12)).reshape(-1, DIMS).T)
     return _CACHE[path]
 
 
@@ -100,19 +70,26 @@ def hilbert_index(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def curve_keys(ids: list[bytes], enc: WordEncoder) -> np.ndarray:
-    n = np.array([len(x) for x in ids], np.int64) // np.dtype(enc.dtype).itemsize
-    flat = np.frombuffer(b"".join(ids), enc.dtype)
-    ends = np.cumsum(n)
-    v = np.zeros((len(ids), DIMS))
+def curve_keys(flat: np.ndarray, offsets: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents with the ids flat[offsets[i]:offsets[i + 1]]."""
+    n = np.diff(offsets)
+    v = np.zeros((len(n), len(axes)))
     full = np.flatnonzero(n)
     if len(full):
-        for d in range(DIMS):
-            v[full, d] = np.add.reduceat(enc.axes[flat, d], (ends - n)[full]) / np.sqrt(n[full])
+        for d, axis in enumerate(axes):
+            v[full, d] = np.add.reduceat(axis[flat], offsets[:-1][full]) / np.sqrt(n[full])
     cell = (1 / (1 + np.exp(-1.702 * v / 2)) * (1 << BITS)).astype(np.int64).clip(0, (1 << BITS) - 1)
     return hilbert_index(cell)
 
 
+def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every document with the id of its end behind it."""
+    ends = offsets + np.arange(len(offsets))
+    out = np.full(int(ends[-1]), end_id, flat.dtype)
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))] = flat
+    return out, ends
+
+
 def tail_sizes(n: int, size: int) -> list[int]:
     """Lengths of the sequences of a range of n ids: full ones, then powers of two."""
     out = [size] * (n // size)
@@ -128,74 +105,75 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
     total, count = src.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     ranges = max(64, -(-(total or 0) // RANGE_BYTES))
+    sample = max(SAMPLE, PER_RANGE * ranges)
 
     def encoded(batches, bounds, bare):
-        enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        width = np.dtype(enc.dtype).itemsize
+        enc, axes = encoder(path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                ids = [x + end for x in enc.encode(["" if t is None else t for t in part.column(2).to_pylist()])]
-                keys = curve_keys(ids, enc)
-                tie = part.column(1).to_numpy(zero_copy_only=False)
-                n = pa.array([len(x) // width for x in ids], pa.int64())
-                if bare:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(1), n], ["hkey", "tie", "n"])
-                    continue
-                at = _range_of(bounds, keys, tie)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys), part.column(1), part.column(0), pa.array(ids, pa.binary())], ["range", "hkey", "tie", "doc_id", "ids"])
-
-    keep = max(1, -(-count // SAMPLE)) if count else 1
+            if not b.num_rows:
+                continue
+            flat, offsets = with_end(*enc.encode(b.column(2)), end_id)
+            keys = curve_keys(flat, offsets, axes)
+            if bare:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(1), pa.array(np.diff(offsets))], ["hkey", "tie", "n"])
+                continue
+            at = _range_of(bounds, keys, b.column(1).to_numpy(zero_copy_only=False))
+            edge = [0]
+            while edge[-1] < len(keys):  # an Arrow column of binary holds less than 2 GB
+                edge.append(max(edge[-1] + 1, int(np.searchsorted(offsets, offsets[edge[-1]] + BATCH_IDS, "right")) - 1))
+            for x, y in zip(edge, edge[1:]):
+                ids = binary_column(flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                yield pa.RecordBatch.from_arrays([pa.array(at[x:y], pa.int32()), pa.array(keys[x:y]), b.column(1).slice(x, y - x), b.column(0).slice(x, y - x), ids], ["range", "hkey", "tie", "doc_id", "ids"])
+
+    keep = max(1, -(-count // sample)) if count else 1
     seen = src.where(F.pmod(F.xxhash64("tie"), F.lit(keep)) == 0)
     seen = seen.mapInArrow(lambda bs: encoded(bs, None, True), "hkey long, tie long, n long")
-    known = sorted(map(tuple, seen.groupBy("hkey", "tie").agg(F.sum("n")).orderBy("tie").limit(2 * SAMPLE).collect()))
-    bounds = _bounds(known, ranges)
+    known = seen.groupBy("hkey", "tie").agg(F.sum("n").alias("n")).orderBy("tie").limit(2 * sample).toArrow()
+    bounds = _bounds(*(known.column(c).to_numpy() for c in ("hkey", "tie", "n")), ranges)
     dealt = src.mapInArrow(lambda bs: encoded(bs, bounds, False), "range int, hkey long, tie long, doc_id long, ids binary")
 
     @tidy
     def lay(t: pa.Table) -> pa.Table:
-        enc_type = encoder(path).dtype
-        hkey, tie = t.column("hkey").to_numpy(), t.column("tie").to_numpy()
-        ids_of, docs_of = t.column("ids").to_pylist(), t.column("doc_id").to_pylist()
-        order = np.lexsort((np.array([-1 if d is None else d for d in docs_of]), tie, hkey))
+        hkey, tie, doc = (t.column(c).to_numpy() for c in ("hkey", "tie", "doc_id"))
+        raw, offsets = buffers(t.column("ids"))
+        null = np.asarray(t.column("doc_id").is_null())
+        doc = np.where(null, -1, doc).astype(np.int64)
+        order = np.lexsort((doc, tie, hkey))
+        kind = np.dtype(encoder(path)[0].dtype)
+        ids, offsets = raw.view(kind), offsets // kind.itemsize
+        n = np.diff(offsets)[order]
+        ends = np.cumsum(n)
+        flat = gather(ids, offsets[:-1][order], n).astype("<u4")
+        seq = np.concatenate(([0], np.cumsum(tail_sizes(len(flat), size))))
+        cuts = np.union1d(seq, ends)
+        at, length = cuts[:-1], np.diff(cuts)
+        of, line = np.searchsorted(ends, at, "right"), np.searchsorted(seq, at, "right") - 1
+        view = memoryview(flat).cast("B")
+        crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), cuts[1:].tolist(), strict=True)]
         base = t.column("range")[0].as_py() << 32
-        width = np.dtype(enc_type).itemsize
-        sizes = iter(tail_sizes(sum(map(len, ids_of)) // width, size))
-        rows: list[list] = [[] for _ in range(8)]
-        seq, room, used = base - 1, 0, 0
-        for k in order.tolist():
-            raw = np.frombuffer(ids_of[k], enc_type).astype("<u4").tobytes()
-            n, at = len(raw) // 4, 0
-            while at < n:
-                if not room:
-                    room, used, seq = next(sizes), 0, seq + 1
-                m = min(room, n - at)
-                piece = raw[4 * at : 4 * (at + m)]
-                for c, v in zip(rows, (docs_of[k], at, m, zlib.crc32(piece), n, seq, used, piece), strict=True):
-                    c.append(v)
-                at, used, room = at + m, used + m, room - m
-        kinds = [pa.int64()] * 7 + [pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in list(zip(rows, kinds, strict=True))[: 8 if with_ids else 7]], names=names[: 8 if with_ids else 7])
+        cols = [pa.array(doc[order][of], pa.int64(), mask=null[order][of]), at - (ends - n)[of], length, pa.array(crc, pa.int64()), n[of], base + line, at - seq[line]]
+        if with_ids:
+            cols.append(pa.array([bytes(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), cuts[1:].tolist(), strict=True)], pa.binary()))
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=names[: len(cols)])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = ", ".join(f"{n} long" for n in names[:7]) + ", ids binary" * with_ids
     return dealt.groupBy("range").applyInArrow(lay, schema)
 
 
-def _bounds(known, ranges: int) -> list[tuple[int, int]]:
-    """Keys that cut the sampled documents into ranges of equally many ids."""
-    if not known:
-        return []
-    share = np.cumsum([k[2] for k in known])
+def _bounds(keys: np.ndarray, tie: np.ndarray, n: np.ndarray, ranges: int) -> np.ndarray:
+    """Rows (key, tie) that cut the sampled documents into ranges of equally many ids, in order."""
+    if not len(keys):
+        return np.zeros((0, 2), np.int64)
+    order = np.lexsort((tie, keys))
+    share = np.cumsum(n[order])
     at = np.searchsorted(share, share[-1] * np.arange(1, ranges) / ranges)
-    return sorted({known[i][:2] for i in at.tolist()})
+    return np.unique(np.stack((keys, tie), 1)[order[at]], axis=0)
 
 
-def _range_of(bounds, keys, tie) -> np.ndarray:
-    if not bounds:
+def _range_of(b: np.ndarray, keys, tie) -> np.ndarray:
+    if not len(b):
         return np.zeros(len(keys), np.int64)
-    b = np.array(bounds, np.int64)
     lo, hi = np.searchsorted(b[:, 0], keys, "left"), np.searchsorted(b[:, 0], keys, "right")
     out = lo.copy()
     for i in np.flatnonzero(hi > lo).tolist():  # keys that are bounds themselves: the tie decides
