@@ -6,15 +6,17 @@ steps, each over whole texts in blocks, with keys dealt to shards by range:
 1. *Candidates.*  Every string of ``length`` bytes has a key, the least hash of the K-byte strings inside it.
    Equal strings have equal keys, so a string whose key occurs in one document alone can't repeat elsewhere and
    needs no more work.  This loses no repeat.
-2. *Construction.*  What remains is cut into segments of consecutive strings with one key; equal segments of a
-   block are merged (smallest document id).  A symbol is PACKED bytes, so each segment is one string of symbols a
-   phase and a round moves that many bytes.  A shard inserts one symbol per string each round, from the last
-   symbol to the first, and updates the collection's Burrows-Wheeler transform, the common prefix lengths and the
-   suffix identifiers, which are read and rewritten in sequence (``Column``; in memory while small, else a file).
+2. *Construction.*  What remains is cut into segments of consecutive strings with one key; equal segments are merged
+   (smallest document id), and a key with one segment left needs no order.  A symbol is PACKED bytes, so each other
+   segment is one string of symbols a phase and a round moves that many bytes.  A shard inserts one symbol per string
+   each round, from the last symbol to the first, and updates the collection's Burrows-Wheeler transform, the common
+   prefix lengths and the suffix identifiers, which are read and rewritten in sequence (``Column``: a file of the
+   task's own, deleted with it, unless it is small).
    Suffixes whose common prefixes reach ``length`` form a class of equal strings; its smallest id is sent back.
 3. *Removal.*  The document's owner marks, merges and cuts the covered bytes.
 
-A very common passage costs each block one segment, however often it occurs.
+A very common passage costs each block one segment, however often it occurs.  A block sends a shard one row of plain
+binary columns, so there are never more rows than keys, and both sides read them as arrays.
 
 Defined cases: null text is empty; a text shorter than ``length`` keeps every byte; rows with equal ids count as
 one document and never remove each other's bytes; rows with a null id are kept whole and remove nothing; empty
@@ -28,20 +30,22 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U, buffers, decode_table, encode_table, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, text_bytes, tidy, unplanes, with_block
+from .common import U, binary_column, buffers, decode_table, gather, mix, n_blocks, pack_blocks, pieces, shard_of, text_bytes, tidy, with_block
 
 K = 16
 SHARD_BYTES = 8_000_000
 BATCH_SEGMENTS = 1024
 SEEDS = 8
-FILE_BYTES = 32_000_000
-#: Bytes a symbol, the first that divides the length: strings of 50 bytes are 10 symbols, at each of 5 phases.
-PACKED = (5, 4, 3, 2, 1)
+FILE_BYTES = 1 << 16
+#: Bytes a symbol, the first that divides the length: strings of 50 bytes are 5 symbols, at each of 10 phases.
+PACKED = (10, 8, 6, 5, 4, 3, 2, 1)
+PIECE = 1 << 16
 NONE = np.iinfo(np.int64).max
 
 
@@ -54,49 +58,54 @@ def window_keys(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = np.concatenate((data, np.zeros(K, np.uint8))).astype(np.uint64)
-    for s in (1, 2, 4):
-        x = x[:-s] | (x[s:] << U(8 * s))
-    h = mix(x[:-8] * U(0x9E3779B97F4A7C15) + (x[8:] ^ (x[8:] >> U(31))) * U(0xD6E8FEB86659FD93 + 2 * seed))[: len(data) - K + 1]
+    x = eights(data).copy()
+    h = mix(x[: len(data) - K + 1] * U(0x9E3779B97F4A7C15) + (x[8 : len(data) - K + 9] ^ (x[8 : len(data) - K + 9] >> U(31))) * U(0xD6E8FEB86659FD93 + 2 * seed))
     want, have = length - K + 1, 1
     while 2 * have <= want:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
     if have < want:
         h = np.minimum(h[: have - want], h[want - have :])
-    return mix(h[:n])  # least hashes crowd near zero; keys are dealt by range
+    return h[:n]
+
+
+def eights(data: np.ndarray, past: int = 0) -> np.ndarray:
+    """The eight bytes that start at each position (and at ``past`` more) as one number, zeros behind the last: a view
+    of all offsets into the bytes."""
+    padded = np.concatenate((data, np.zeros(7 + past, np.uint8)))
+    return np.ndarray((len(data) + past,), "<u8", padded, 0, (1,))
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0):
     """Runs of string starts with one key inside one document, of at most length - K + 1 starts:
-    (first position, number of starts, key, document) arrays."""
+    (first position, number of starts, key, document) arrays.  Keys are even."""
     most = length - K + 1
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for i, j in pieces(offsets):
+    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.int64)]
+    for i, j in pieces(offsets, PIECE):
         a, b = int(offsets[i]), int(offsets[j])
         v = window_keys(data[a:b], length, seed)
         if not len(v):
             continue
-        size = np.diff(offsets[i : j + 1])
-        n_starts = np.maximum(0, size - length + 1)
-        doc = np.repeat(np.arange(j - i), n_starts)
-        first = np.cumsum(n_starts) - n_starts
-        pos = np.arange(len(doc)) - np.repeat(first, n_starts) + np.repeat(offsets[i:j] - a, n_starts)
-        key = v[pos]
-        edge = np.ones(len(doc), bool)
-        edge[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(edge)
-        n = np.diff(at, append=len(doc))
-        parts = -(-n // most)
-        if len(parts) and parts.max() > 1:
+        begin = offsets[i:j] - a
+        stop = np.maximum(begin, offsets[i + 1 : j + 1] - a - length + 1)  # behind the document's last string
+        cut = np.zeros(len(v) + 1, bool)
+        cut[1:-1] = v[1:] != v[:-1]
+        cut[begin[begin <= len(v)]] = True
+        cut[stop[stop <= len(v)]] = True
+        cut[-1] = True
+        at = np.flatnonzero(cut)
+        n, at = np.diff(at), at[:-1]
+        doc = np.searchsorted(begin, at, "right") - 1
+        inside = at < stop[doc]
+        at, n, doc = at[inside], n[inside], doc[inside]
+        if len(n) and n.max() > most:
+            parts = -(-n // most)
             within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             left = np.repeat(n, parts) - within * most
-            at, n = np.repeat(at, parts) + within * most, np.minimum(left, most)
-        for o, x in zip(out, (pos[at] + a, n, key[at], doc[at] + i), strict=True):
+            at, n, doc = np.repeat(at, parts) + within * most, np.minimum(left, most), np.repeat(doc, parts)
+        # Least hashes crowd near zero, and keys are dealt by range.
+        for o, x in zip(out, (at + a, n, mix(v[at]) & ~U(1), doc + i), strict=True):
             o.append(x)
-    if not out[0]:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z
     return tuple(np.concatenate(o) for o in out)
 
 
@@ -104,24 +113,33 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0):
 
 
 class Column:
-    """A sequence that is written and read from start to end; kept in a file once it exceeds FILE_BYTES."""
+    """A sequence that is written and read from start to end; from FILE_BYTES on it is a file."""
 
     def __init__(self, dtype):
-        self.dtype, self.file = dtype, None
+        self.dtype, self.file, self.held = dtype, None, None
 
     def write(self, values: np.ndarray) -> None:
-        self.close()
-        self.file = tempfile.SpooledTemporaryFile(max_size=FILE_BYTES)
-        self.file.write(np.ascontiguousarray(values, self.dtype).data)
+        values = np.ascontiguousarray(values, self.dtype)
+        if values.nbytes <= FILE_BYTES:
+            self.held = values
+            return
+        self.held = None
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(0)
+        self.file.write(values.data)
+        self.file.truncate()
 
     def read(self) -> np.ndarray:
+        if self.held is not None:
+            return self.held
         self.file.seek(0)
         return np.frombuffer(self.file.read(), self.dtype)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
-            self.file = None
+        self.file = self.held = None
 
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -190,17 +208,24 @@ def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
     return ident >> 32, ident & 0xFFFFFFFF, lcp
 
 
+def _words(flat: np.ndarray, q: int) -> np.ndarray:
+    """A number for the q bytes at each position, equal where they are; past the end zeros follow."""
+    if q <= 8:
+        x = eights(flat)
+        return x & U((1 << 8 * q) - 1)
+    _, half = np.unique(_words(flat, q // 2), return_inverse=True)
+    half = np.concatenate((half, np.zeros(q // 2, half.dtype))).astype(np.uint64)
+    return (half[: len(flat)] << U(32)) | half[q // 2 :]
+
+
 def class_minima(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """For each string of ``length`` bytes (in order of segment and start) the least id among its equals."""
     q = next(x for x in PACKED if length % x == 0)
-    word = np.zeros(len(flat), np.uint64)
-    for k in range(q):
-        word[: len(flat) - k] = (word[: len(flat) - k] << U(8)) | flat[k:]
     first = ends - sizes
     n_sym = np.maximum(0, (sizes[:, None] - np.arange(q)[None, :]) // q).ravel()
     sub_ends = np.cumsum(n_sym)
     at = np.repeat((first[:, None] + np.arange(q)[None, :]).ravel() - q * (sub_ends - n_sym), n_sym) + q * np.arange(int(sub_ends[-1]))
-    _, symbols = np.unique(word[at], return_inverse=True)
+    _, symbols = np.unique(_words(flat, q)[at], return_inverse=True)
     string, start, lcp = sorted_suffixes(symbols, sub_ends, n_sym)
     string, start = string // q, string % q + q * start
     head = np.flatnonzero(lcp * q < length)
@@ -218,33 +243,37 @@ def least_ids(data: np.ndarray, pos: np.ndarray, size: np.ndarray, docs: np.ndar
     """For each string of ``length`` bytes in the segments the least id among its equals: (values, first of each
     segment's values, number of its strings).
 
-    Equal segments are merged, and whole keys are taken together, about BATCH_SEGMENTS segments at a time.  A key
-    with more (a very common K-byte string in many surroundings) is cut again by the keys of another hash.
+    Equal segments are merged; the strings of a key with one segment are equal to its own alone.  Other keys are taken
+    together, about BATCH_SEGMENTS segments at a time.  A key with more (a very common K-byte string in many
+    surroundings) is cut again by the keys of another hash.
     """
-    a, b = digests(data, pos, size)
-    order = np.lexsort((docs, b, a, key))
-    k, a, b = key[order], a[order], b[order]
-    head = np.ones(len(k), bool)
-    head[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    of = np.empty(len(k), np.int64)
+    by = np.argsort(key, kind="stable")
+    order, head = equal_stretches(key[by], *(x[by] for x in digests(data, pos, size)))
+    order = by[order]
+    of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(head) - 1
-    one = order[head]  # one of each distinct segment, in order of key, with its least id
+    one = order[head]  # one of each distinct segment, in order of key
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(head)) if len(one) else docs[:0]
     edge = np.flatnonzero(np.concatenate(([True], key[one][1:] != key[one][:-1], [True]))) if len(one) else np.zeros(1, np.int64)
     n = size[one] - length + 1
     base = np.cumsum(n) - n
-    values = np.empty(int(n.sum()), np.int64)
+    values = np.repeat(least, n)
+    many = np.flatnonzero(np.diff(edge) > 1)
+    rows = gather(np.arange(len(one)), edge[many], np.diff(edge)[many])  # the segments of keys with several
+    edge = np.concatenate(([0], np.cumsum(np.diff(edge)[many])))
     i = 0
     while i < len(edge) - 1:
         j = max(i + 1, int(np.searchsorted(edge, edge[i] + BATCH_SEGMENTS, "right")) - 1)
-        mine = one[edge[i] : edge[j]]
+        here = rows[edge[i] : edge[j]]
+        mine = one[here]
         flat, ends = gather(data, pos[mine], size[mine]), np.cumsum(size[mine])
         if len(mine) > BATCH_SEGMENTS and seed < SEEDS:
             p, m, again, doc = runs_of(flat, np.concatenate(([0], ends)), length, seed + 1)
-            got, first, count = least_ids(flat, p, m + length - 1, docs[mine][doc], again, length, seed + 1)
+            got, first, count = least_ids(flat, p, m + length - 1, least[here][doc], again, length, seed + 1)
             got = gather(got, first, count)
         else:
-            got = class_minima(flat, ends, size[mine], docs[mine], length)
-        values[base[edge[i]] : base[edge[i]] + len(got)] = got
+            got = class_minima(flat, ends, size[mine], least[here], length)
+        values[gather(np.arange(len(values)), base[here], n[here])] = got
         i = j
     return values, base[of], n[of]
 
@@ -275,59 +304,73 @@ class Block:
 
     def keys(self):
         """Distinct keys in order, and which of them more than one document of the block has."""
-        order = np.argsort(self.key, kind="stable")
-        k, d = self.key[order], self.ids[self.doc[order]]
-        head = np.flatnonzero(np.diff(k, prepend=k[:1] ^ U(1)) != 0) if len(k) else np.zeros(0, np.int64)
+        self.order = np.argsort(self.key, kind="stable")
+        k, d = self.key[self.order], self.ids[self.doc[self.order]]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        head = np.flatnonzero(first)
         if not len(head):
             return k, np.zeros(0, bool)
+        self.times = np.diff(head, append=len(k))
         return k[head], np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
 
-    def segments(self, shared: np.ndarray):
-        """Runs with shared keys, merged where their bytes are equal: (run of each segment's first member,
-        least id, segment of each run or -1), segments in order of key."""
-        keys, _ = self.keys()
-        on = np.flatnonzero(shared[np.searchsorted(keys, self.key)]) if len(keys) else np.zeros(0, np.int64)
+    def segments(self, bits: np.ndarray):
+        """Runs with shared keys (bits: by distinct key), merged where their bytes are equal: (run of each segment's
+        first member, least id, segment of each run or -1), segments in order of key."""
         of_run = np.full(len(self.pos), -1, np.int64)
-        size = self.n[on] + self.length - 1
-        a, b = digests(self.data, self.pos[on], size)
-        order = np.lexsort((self.ids[self.doc[on]], b, a, self.key[on]))
-        k, a, b = self.key[on][order], a[order], b[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if not len(self.pos):
+            return self.pos, self.ids[self.doc], of_run
+        self.keys()
+        on = self.order[np.repeat(bits.astype(bool), self.times)]  # by key, and by document under a key
+        k = self.key[on]
+        order, head = equal_stretches(k, *digests(self.data, self.pos[on], self.n[on] + self.length - 1))
         of_run[on[order]] = np.cumsum(head) - 1
         first = on[order[head]]
         return first, self.ids[self.doc[first]], of_run
 
 
-def digests(data: np.ndarray, pos: np.ndarray, size: np.ndarray, step: int = 16_000):
+def equal_stretches(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of stretches (given in order of key) in which equal ones follow each other, in their own order, and
+    where another one begins.  (One number sorts fastest; where its 40 bits of the digest meet by chance, equal
+    stretches may not be merged, which costs a little work.)"""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    order = np.argsort((np.cumsum(new).astype(np.uint64) << U(40)) | (a >> U(24)), kind="stable")
+    a, b = a[order], b[order]
+    new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def digests(data: np.ndarray, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each stretch; overlapping stretches are fine."""
-    out = (np.empty(len(pos), np.uint64), np.empty(len(pos), np.uint64))
-    for i in range(0, len(pos), step):
-        p, n = pos[i : i + step], size[i : i + step]
-        most = -(-int(n.max()) // 8)
-        padded = np.zeros((len(p), most * 8), np.uint8)
-        idx = p[:, None] + np.arange(most * 8)[None, :]
-        np.copyto(padded, data[np.minimum(idx, len(data) - 1)], where=np.arange(most * 8)[None, :] < n[:, None])
-        words = padded.view("<u8")
-        for k, seed in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-            h = mix(n.astype(np.uint64) + U(seed))
-            for c in range(most):
-                h = mix(h * U(0xD6E8FEB86659FD93) + words[:, c])
-            out[k][i : i + step] = h
-    return out
+    a, b = mix(size.astype(np.uint64) + U(0x243F6A8885A308D3)), mix(size.astype(np.uint64) + U(0x13198A2E03707344))
+    x = eights(data, int(size.max(initial=0)) + 8)
+    for c in range(0, int(size.max(initial=0)), 8):
+        left = np.clip(size - c, 0, 8).astype(np.uint64)
+        word = np.where(left > 0, x[pos + c] & (~U(0) >> (U(64) - U(8) * np.maximum(left, U(1)))), U(0))
+        a, b = mix(a * U(0xD6E8FEB86659FD93) + word), mix(b * U(0xD6E8FEB86659FD93) + word)
+    return a, b
 
 
-def gather(data: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches one behind the other."""
-    end = np.cumsum(size)
-    return data[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(pos - (end - size), size)]
+ROW = "shard int, block int, "
 
 
-def _rows(block: int, items: list[tuple[int, dict]]) -> pa.Table:
-    return pa.table([pa.array([s for s, _ in items], pa.int32()), pa.array([block] * len(items), pa.int32()), pa.array([encode_table(pa.table(x)) for _, x in items], pa.binary())], names=["shard", "block", "payload"])
+def rows_of(block: int, keys: np.ndarray, shards: int, cols: dict[str, tuple[np.ndarray, np.ndarray | None]]) -> pa.Table:
+    """One row a shard: shard, block and the shard's part of each column.  keys are in order; a column is an array
+    with an item a key, or with as many items a key as the second array says."""
+    shard = shard_of(keys, shards)
+    head = np.flatnonzero(np.diff(shard, prepend=-1))
+    edge = np.append(head, len(keys))
+    out = []
+    for values, each in cols.values():
+        out.append(binary_column(values, edge if each is None else np.concatenate(([0], np.cumsum(each)))[edge]))
+    return pa.table([pa.array(shard[head], pa.int32()), pa.array(np.full(len(head), block), pa.int32()), *out], names=["shard", "block", *cols])
 
 
-ROW = "shard int, block int, payload binary"
+def in_order(t: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
+    """The binary columns of one block's rows, put together in order of shard."""
+    t = t.sort_by("shard")
+    return [buffers(t.column(c))[0].view(k) for c, k in kinds.items()]
 
 
 def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -342,82 +385,65 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
 
     @tidy
     def ask(t: pa.Table) -> pa.Table:
-        b = Block(t, length)
-        keys, many = b.keys()
-        edge = shard_edges(keys, shards)
-        return _rows(t.column("block")[0].as_py(), [(s, {"keys": [planes(keys[x:y])], "many": [np.packbits(many[x:y]).tobytes()]}) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x])
+        keys, many = Block(t, length).keys()
+        return rows_of(t.column("block")[0].as_py(), keys, shards, {"keys": ((keys | many).astype("<u8"), None)})
 
     @tidy
     def share(t: pa.Table) -> pa.Table:
-        parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
-        keys = [unplanes(p.column("keys")[0].as_py()) for p in parts]
-        many = [np.unpackbits(np.frombuffer(p.column("many")[0].as_py(), np.uint8), count=len(k)).astype(bool) for p, k in zip(parts, keys, strict=True)]
-        flat = np.concatenate(keys)
+        raw, at = buffers(t.column("keys"))
+        flat = raw.view("<u8")
+        many, flat = (flat & U(1)).astype(bool), flat & ~U(1)
         order = np.argsort(flat, kind="stable")
         head = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
         n = np.diff(head, append=len(flat))
-        shared = np.empty(len(flat), bool)
-        shared[order] = np.repeat((n > 1) | np.logical_or.reduceat(np.concatenate(many)[order], head), n)
-        cuts = np.cumsum([0, *map(len, keys)])
-        bits = [np.packbits(shared[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table([t.column("shard"), t.column("block"), pa.array([encode_table(pa.table({"bits": [x]})) for x in bits], pa.binary())], names=["shard", "block", "payload"])
-
-    def answers(t: pa.Table) -> dict[int, pa.Table]:
-        return {s.as_py(): pa.ipc.open_stream(p.as_buffer()).read_all() for s, p in zip(t.column("shard"), t.column("payload"), strict=True)}
+        shared = np.empty(len(flat), np.uint8)
+        shared[order] = np.repeat((n > 1) | np.logical_or.reduceat(many[order], head), n)
+        return pa.table([t.column("shard"), t.column("block"), binary_column(shared, at // 8)], names=["shard", "block", "bits"])
 
     @tidy
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return _rows(0, [])
+        if not len(left) or not len(right):
+            return empty_cut
         b = Block(left, length)
-        first, least, _ = b.segments(_shared(b, answers(right), shards))
-        key = b.key[first]
-        edge = shard_edges(key, shards)
-        items = []
-        for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if y > x:
-                size = b.n[first[x:y]] + length - 1
-                items.append((s, {"keys": [planes(key[x:y])], "size": [size.astype("<u2").tobytes()], "least": [least[x:y].astype("<i8").tobytes()], "bytes": [gather(b.data, b.pos[first[x:y]], size).tobytes()]}))
-        return _rows(left.column("block")[0].as_py(), items)
+        first, least, _ = b.segments(*in_order(right, {"bits": "u1"}))
+        size = b.n[first] + length - 1
+        return rows_of(left.column("block")[0].as_py(), b.key[first], shards, {"keys": (b.key[first].astype("<u8"), None), "size": (size.astype("<u4"), None), "least": (least.astype("<i8"), None), "bytes": (gather(b.data, b.pos[first], size), size)})
 
     @tidy
     def build(t: pa.Table) -> pa.Table:
-        parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
-        col = lambda name, kind: [np.frombuffer(p.column(name)[0].as_py(), kind) for p in parts]
-        keys = [unplanes(p.column("keys")[0].as_py()) for p in parts]
-        size = np.concatenate(col("size", "<u2")).astype(np.int64)
-        docs_, data = np.concatenate(col("least", "<i8")), np.concatenate(col("bytes", np.uint8))
-        pos = np.cumsum(size) - size
-        key = np.concatenate(keys)
-        values, base, n_starts = least_ids(data, pos, size, docs_, key, length)
-        out, at = [], 0
-        for n in map(len, keys):
-            mine = slice(at, at + n)
-            out.append(encode_table(pa.table({"least": [gather(values, base[mine], n_starts[mine]).astype("<i8").tobytes()]})))
-            at += n
-        return pa.table([t.column("shard"), t.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "payload"])
+        (key, at), (size, _), (docs_, _), (data, _) = (buffers(t.column(c)) for c in ("keys", "size", "least", "bytes"))
+        size = size.view("<u4").astype(np.int64)
+        values, base, n = least_ids(data, np.cumsum(size) - size, size, docs_.view("<i8"), key.view("<u8"), length)
+        # Runs of one id: a segment's first string begins one.
+        begin = np.zeros(len(values) + 1, bool)
+        begin[base] = True
+        begin[1:-1] |= values[1:] != values[:-1]
+        begin[-1] = True
+        edge = np.flatnonzero(begin)
+        lo, hi = np.searchsorted(edge, base), np.searchsorted(edge, base + n)
+        runs = hi - lo
+        ends = np.concatenate(([0], np.cumsum(runs)))[at // 8]
+        out = [binary_column(gather(x, lo, runs), ends) for x in (values[edge[:-1]].astype("<i8"), np.diff(edge).astype("<u4"))]
+        return pa.table([t.column("shard"), t.column("block"), *out], names=["shard", "block", "least", "times"])
 
     @tidy
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return empty
         b = Block(left, length)
-        got = answers(right)
-        bits = {s: p for s, p in got.items() if s < shards}
-        first, _, of_run = b.segments(_shared(b, bits, shards))
+        told = right.filter(pc.is_valid(right.column("bits")))
+        first, _, of_run = b.segments(*in_order(told, {"bits": "u1"})) if len(told) else b.segments(np.zeros(0, np.uint8))
         n = b.n[first]
-        values = [np.frombuffer(got[s].column("least")[0].as_py(), "<i8") for s in sorted(got) if s >= shards]
-        values = np.concatenate(values) if values else np.zeros(0, np.int64)
+        values, times = in_order(right.filter(pc.is_valid(right.column("least"))), {"least": "<i8", "times": "<u4"})
+        values = np.repeat(values, times)
         base = np.cumsum(n) - n
         on = np.flatnonzero(of_run >= 0)
         seg = of_run[on]
-        least = gather(values, base[seg], b.n[on])
-        hit = least < np.repeat(b.ids[b.doc[on]], b.n[on])
-        starts = gather(np.arange(len(b.data), dtype=np.int64), b.pos[on], b.n[on])[hit] if len(on) else np.zeros(0, np.int64)
-        cover = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        n_on = b.n[on]
+        hit = gather(values, base[seg], n_on) < np.repeat(b.ids[b.doc[on]], n_on)
+        starts = (np.arange(len(hit)) + np.repeat(b.pos[on] - (np.cumsum(n_on) - n_on), n_on))[hit]
+        change = np.bincount(starts, minlength=len(b.data) + 1) - np.bincount(starts + length, minlength=len(b.data) + 1)
+        gone = np.cumsum(change[:-1]) > 0
         edge = np.zeros(len(gone) + 1, bool)
         edge[b.offsets] = True
         opens = gone & (np.concatenate(([True], ~gone[:-1])) | edge[: len(gone)]) if len(gone) else gone
@@ -438,19 +464,10 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
     for c in carry or []:
         schema = schema.add(c, src.schema[f"carry{carry.index(c)}"].dataType)
     empty = to_arrow_schema(schema).empty_table()
+    empty_cut = to_arrow_schema(T._parse_datatype_string(ROW + "keys binary, size binary, least binary, bytes binary")).empty_table()
 
-    shared = packed.groupBy("block").applyInArrow(ask, ROW).groupBy("shard").applyInArrow(share, ROW)
-    least = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(cut, ROW).groupBy("shard").applyInArrow(build, ROW)
-    replies = shared.unionAll(least.withColumn("shard", (F.col("shard") + shards).cast("int")))
+    shared = packed.groupBy("block").applyInArrow(ask, ROW + "keys binary").groupBy("shard").applyInArrow(share, ROW + "bits binary")
+    cuts = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(cut, ROW + "keys binary, size binary, least binary, bytes binary")
+    least = cuts.groupBy("shard").applyInArrow(build, ROW + "least binary, times binary")
+    replies = shared.unionByName(least, allowMissingColumns=True)
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema)
-
-
-def _shared(b: Block, got: dict[int, pa.Table], shards: int) -> np.ndarray:
-    """Which of the block's keys are shared, from the shards' replies."""
-    keys, _ = b.keys()
-    edge = shard_edges(keys, shards)
-    out = np.zeros(len(keys), bool)
-    for s, p in got.items():
-        x, y = edge[s], edge[s + 1]
-        out[x:y] = np.unpackbits(np.frombuffer(p.column("bits")[0].as_py(), np.uint8), count=y - x).astype(bool)
-    return out
