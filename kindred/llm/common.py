@@ -242,9 +242,10 @@ def gather(data: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def binary_column(values: np.ndarray, edge: np.ndarray) -> pa.Array:
-    """Binary cells over the items values[edge[i]:edge[i + 1]], without a copy."""
+    """Binary cells over the items (or rows) values[edge[i]:edge[i + 1]], without a copy."""
     values = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+    width = values.itemsize * int(np.prod(values.shape[1:]))
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * width).astype(np.int32)), pa.py_buffer(values)])
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

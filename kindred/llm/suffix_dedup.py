@@ -46,7 +46,7 @@ FILE_BYTES = 1 << 16
 #: Bytes a symbol, the first that divides the length: strings of 50 bytes are 5 symbols, at each of 10 phases.
 PACKED = (10, 8, 6, 5, 4, 3, 2, 1)
 PIECE = 1 << 16
-NONE = np.iinfo(np.int64).max
+ZSTD = pa.Codec("zstd", 1)
 
 
 # Candidates -------------------------------------------------------------------------------------------------
@@ -78,7 +78,8 @@ def eights(data: np.ndarray, past: int = 0) -> np.ndarray:
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0):
     """Runs of string starts with one key inside one document, of at most length - K + 1 starts:
-    (first position, number of starts, key, document) arrays.  Keys are even."""
+    (first position, number of starts, key, document) arrays.  A key has 47 bits, the upper ones of 64: keys that meet
+    by chance only send a segment more to the construction."""
     most = length - K + 1
     out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.int64)]
     for i, j in pieces(offsets, PIECE):
@@ -104,7 +105,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0):
             left = np.repeat(n, parts) - within * most
             at, n, doc = np.repeat(at, parts) + within * most, np.minimum(left, most), np.repeat(doc, parts)
         # Least hashes crowd near zero, and keys are dealt by range.
-        for o, x in zip(out, (at + a, n, mix(v[at]) & ~U(1), doc + i), strict=True):
+        for o, x in zip(out, (at + a, n, mix(v[at]) & ~U(0x1FFFF), doc + i), strict=True):
             o.append(x)
     return tuple(np.concatenate(o) for o in out)
 
@@ -357,16 +358,48 @@ ROW = "shard int, block int, "
 
 def rows_of(block: int, keys: np.ndarray, shards: int, cols: dict[str, tuple[np.ndarray, np.ndarray | None]]) -> pa.Table:
     """One row a shard: shard, block and the shard's part of each column.  keys are in order; a column is an array
-    with an item a key, or with as many items a key as the second array says."""
+    with an item a key, or with as many items a key as the second array says, which travels compressed."""
     shard = shard_of(keys, shards)
     head = np.flatnonzero(np.diff(shard, prepend=-1))
     edge = np.append(head, len(keys))
     out = []
     for values, each in cols.values():
-        out.append(binary_column(values, edge if each is None else np.concatenate(([0], np.cumsum(each)))[edge]))
+        out.append(binary_column(values, edge) if each is None else zipped(values, np.concatenate(([0], np.cumsum(each)))[edge]))
     return pa.table([pa.array(shard[head], pa.int32()), pa.array(np.full(len(head), block), pa.int32()), *out], names=["shard", "block", *cols])
 
 
+def short_keys(keys: np.ndarray) -> np.ndarray:
+    """The upper six bytes of each key, one key a row."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+
+
+def long_keys(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def zipped(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Binary cells over values[edge[i]:edge[i + 1]], each compressed by itself."""
+    view = memoryview(np.ascontiguousarray(values)).cast("B")
+    width = values.itemsize
+    return pa.array([ZSTD.compress(view[width * a : width * b], asbytes=True) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())
+
+
+def unzipped(cells: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of compressed cells of the given sizes."""
+    return np.frombuffer(b"".join(ZSTD.decompress(x.as_buffer(), int(n), asbytes=True) for x, n in zip(cells, sizes, strict=True)), np.uint8)
+
+
+def packed_bits(bits: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Binary cells of the bits edge[i]:edge[i + 1], eight to a byte."""
+    n = np.diff(edge)
+    start = np.concatenate(([0], np.cumsum(-(-n // 8))))
+    wide = np.zeros(8 * int(start[-1]), bool)
+    wide[np.arange(len(bits)) + np.repeat(8 * start[:-1] - edge[:-1], n)] = bits
+    return binary_column(np.packbits(wide), start)
+
+
 def in_order(t: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
     """The binary columns of one block's rows, put together in order of shard."""
     t = t.sort_by("shard")
@@ -383,37 +416,47 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
     blocks, shards = n_blocks(total), max(64, -(-total // SHARD_BYTES))
     packed = pack_blocks(with_block(src, blocks), src.columns)
 
+    small = "u1" if 2 * length - K < 256 else "<u4"  # the size of a segment
+
+    def told(b: Block, t: pa.Table) -> np.ndarray:
+        """The bits of a block's keys, in order, from the rows of all shards."""
+        bits = np.unpackbits(in_order(t, {"bits": "u1"})[0]).astype(bool)
+        n = np.diff(np.flatnonzero(np.concatenate(([True], np.diff(shard_of(b.keys()[0], shards)) > 0, [True])))) if len(b.pos) else np.zeros(0, np.int64)
+        start = np.cumsum(-(-n // 8)) - -(-n // 8)
+        return gather(bits, 8 * start, n)
+
     @tidy
     def ask(t: pa.Table) -> pa.Table:
         keys, many = Block(t, length).keys()
-        return rows_of(t.column("block")[0].as_py(), keys, shards, {"keys": ((keys | many).astype("<u8"), None)})
+        return rows_of(t.column("block")[0].as_py(), keys, shards, {"keys": (short_keys(keys | (many.astype(np.uint64) << U(16))), None)})
 
     @tidy
     def share(t: pa.Table) -> pa.Table:
         raw, at = buffers(t.column("keys"))
-        flat = raw.view("<u8")
-        many, flat = (flat & U(1)).astype(bool), flat & ~U(1)
+        flat = long_keys(raw)
+        many, flat = (flat & U(1 << 16)) > 0, flat & ~U(0x1FFFF)
         order = np.argsort(flat, kind="stable")
         head = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
         n = np.diff(head, append=len(flat))
-        shared = np.empty(len(flat), np.uint8)
+        shared = np.empty(len(flat), bool)
         shared[order] = np.repeat((n > 1) | np.logical_or.reduceat(many[order], head), n)
-        return pa.table([t.column("shard"), t.column("block"), binary_column(shared, at // 8)], names=["shard", "block", "bits"])
+        return pa.table([t.column("shard"), t.column("block"), packed_bits(shared, at // 6)], names=["shard", "block", "bits"])
 
     @tidy
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return empty_cut
         b = Block(left, length)
-        first, least, _ = b.segments(*in_order(right, {"bits": "u1"}))
+        first, least, _ = b.segments(told(b, right))
         size = b.n[first] + length - 1
-        return rows_of(left.column("block")[0].as_py(), b.key[first], shards, {"keys": (b.key[first].astype("<u8"), None), "size": (size.astype("<u4"), None), "least": (least.astype("<i8"), None), "bytes": (gather(b.data, b.pos[first], size), size)})
+        return rows_of(left.column("block")[0].as_py(), b.key[first], shards, {"keys": (short_keys(b.key[first]), None), "size": (size.astype(small), None), "least": (least.astype("<i8"), None), "bytes": (gather(b.data, b.pos[first], size), size)})
 
     @tidy
     def build(t: pa.Table) -> pa.Table:
-        (key, at), (size, _), (docs_, _), (data, _) = (buffers(t.column(c)) for c in ("keys", "size", "least", "bytes"))
-        size = size.view("<u4").astype(np.int64)
-        values, base, n = least_ids(data, np.cumsum(size) - size, size, docs_.view("<i8"), key.view("<u8"), length)
+        (key, at), (size, _), (docs_, _) = (buffers(t.column(c)) for c in ("keys", "size", "least"))
+        size, at = size.view(small).astype(np.int64), at // 6
+        data = unzipped(t.column("bytes"), np.diff(np.concatenate(([0], np.cumsum(size)))[at]))
+        values, base, n = least_ids(data, np.cumsum(size) - size, size, docs_.view("<i8"), long_keys(key), length)
         # Runs of one id: a segment's first string begins one.
         begin = np.zeros(len(values) + 1, bool)
         begin[base] = True
@@ -422,8 +465,8 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
         edge = np.flatnonzero(begin)
         lo, hi = np.searchsorted(edge, base), np.searchsorted(edge, base + n)
         runs = hi - lo
-        ends = np.concatenate(([0], np.cumsum(runs)))[at // 8]
-        out = [binary_column(gather(x, lo, runs), ends) for x in (values[edge[:-1]].astype("<i8"), np.diff(edge).astype("<u4"))]
+        ends = np.concatenate(([0], np.cumsum(runs)))[at]
+        out = [binary_column(gather(x, lo, runs), ends) for x in (values[edge[:-1]].astype("<i8"), np.diff(edge).astype(small))]
         return pa.table([t.column("shard"), t.column("block"), *out], names=["shard", "block", "least", "times"])
 
     @tidy
@@ -431,10 +474,9 @@ def repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
         if not len(left):
             return empty
         b = Block(left, length)
-        told = right.filter(pc.is_valid(right.column("bits")))
-        first, _, of_run = b.segments(*in_order(told, {"bits": "u1"})) if len(told) else b.segments(np.zeros(0, np.uint8))
+        first, _, of_run = b.segments(told(b, right.filter(pc.is_valid(right.column("bits")))))
         n = b.n[first]
-        values, times = in_order(right.filter(pc.is_valid(right.column("least"))), {"least": "<i8", "times": "<u4"})
+        values, times = in_order(right.filter(pc.is_valid(right.column("least"))), {"least": "<i8", "times": small})
         values = np.repeat(values, times)
         base = np.cumsum(n) - n
         on = np.flatnonzero(of_run >= 0)
