@@ -10,7 +10,8 @@ INDIA_ABBR = {"ap": "andhra pradesh", "ar": "arunachal pradesh", "as": "assam",
 US_STATES = "ak al ar az ca co ct de fl ga hi ia id il in ks ky la ma md me mi mn mo ms mt nc nd ne nh nj nm nv ny oh ok or pa ri sc sd tn tx ut va vt wa wi wv wy".split()
 US_AMBIGUOUS = "ct in la me oh or".split()
 METROS = {"ahmedabad": "ahmedabad", "bangalore": "bangalore", "bengaluru": "bangalore", "chennai": "chennai", "madras": "chennai", "delhi": "delhi", "new delhi": "delhi", "hyderabad": "hyderabad", "secunderabad": "hyderabad", "kolkata": "kolkata", "calcutta": "kolkata", "mumbai": "mumbai", "bombay": "mumbai", "pune": "pune"}
-BRAHMIC = {"a": "05 06 3E", "b": "2C 2D", "c": "1A 1B", "d": "21 22 26 27", "e": "0F 47", "g": "17 18", "h": "39", "i": "07 08 3F 40", "j": "1C 1D", "k": "15 16", "l": "32", "m": "2E", "n": "19 1E 23 28", "o": "13 14 4B 4C", "p": "2A 2B", "r": "30", "s": "36 37 38", "t": "1F 20 24 25", "u": "09 0A 41 42", "v": "35", "y": "2F"}
+# The Latin letter of an offset within each Indic block of 128 characters.
+BRAHMIC = {0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0F: "e", 0x13: "o", 0x14: "o", 0x15: "k", 0x16: "k", 0x17: "g", 0x18: "g", 0x19: "n", 0x1A: "c", 0x1B: "c", 0x1C: "j", 0x1D: "j", 0x1E: "n", 0x1F: "t", 0x20: "t", 0x21: "d", 0x22: "d", 0x23: "n", 0x24: "t", 0x25: "t", 0x26: "d", 0x27: "d", 0x28: "n", 0x2A: "p", 0x2B: "p", 0x2C: "b", 0x2D: "b", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x35: "v", 0x36: "s", 0x37: "s", 0x38: "s", 0x39: "h", 0x3E: "a", 0x3F: "i", 0x40: "i", 0x41: "u", 0x42: "u", 0x47: "e", 0x4B: "o", 0x4C: "o"}
 ACCENTS = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
 DOMAINS = [".com", ".org", ".net", ".in", ".co", ".fr", "www."]
 SOUNDEX = {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}

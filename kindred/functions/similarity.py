@@ -74,18 +74,20 @@ def proof(l: Side, r: Side) -> Column:
 
 
 def empty_address(l: Side, r: Side, rule: str) -> Column:
-    """What may pass without any proof.  rule: distinctive, names, words, diagnostic."""
+    """What may pass without any proof, where a side has no address tokens.  rule: distinctive, names, words,
+    diagnostic."""
+    bare = (F.size(l.a_toks) == 0) | (F.size(r.a_toks) == 0)
     exact, no_post = l.nn == r.nn, (l.post == "") & (r.post == "")
-    if rule == "distinctive":
-        return no_post & exact & (F.size(l.toks) >= 3)
     core = (l.core != "") & (l.core == r.core)
     flat = l.flat == r.flat
-    if rule == "names":
-        return exact | (core & (F.size(words(l.core)) >= 2)) | (flat & (F.length(l.flat) >= 6))
-    if rule == "words":
-        n = F.size(words(l.nn))
-        return no_post & exact & ((n >= 3) | ((n >= 2) & (F.length(l.nn) >= 14)))
-    return exact | core | same(l.sorted_core, r.sorted_core) | flat
+    n = F.size(words(l.nn))
+    rules = {
+        "distinctive": no_post & exact & (F.size(l.toks) >= 3),
+        "names": exact | (core & (F.size(words(l.core)) >= 2)) | (flat & (F.length(r.nn) >= 6)),
+        "words": no_post & exact & ((n >= 3) | ((n >= 2) & (F.length(l.nn) >= 14))),
+        "diagnostic": exact | core | same(l.sorted_core, r.sorted_core) | flat,
+    }
+    return bare & rules[rule]
 
 
 def gate_reason(l: Side, r: Side, relaxed: bool, rule: str) -> Column:
@@ -100,6 +102,13 @@ def gate(l: Side, r: Side, relaxed: bool, rule: str) -> Column:
     return gate_reason(l, r, relaxed, rule).isNull()
 
 
-def single_word_guard(l: Side, r: Side) -> Column:
-    """A core of one word needs an equal number or postcode."""
-    return (F.size(words(r.core)) != 1) | same_number(l, r) | same(l.post, r.post)
+def plain_gate_reason(l: Side, r: Side) -> Column:
+    """The four steps of the evaluation gate: the first that rejects, or null."""
+    apart = (F.size(l.a_toks) > 0) & (F.size(r.a_toks) > 0) & ~proof(l, r)
+    far = number_conflict(l, r) & ~number_near(l, r)
+    return F.when(differ(l.state, r.state), "state").when(differ(l.post, r.post), "postcode").when(far, "building").when(apart, "no overlap")
+
+
+def single_word_guard(l: Side, r: Side, loose: bool = False) -> Column:
+    """A core of one word needs an equal number or postcode; if loose, any proof of the address."""
+    return (F.size(words(r.core)) != 1) | (proof(l, r) if loose else same_number(l, r) | same(l.post, r.post))

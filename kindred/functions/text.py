@@ -38,8 +38,7 @@ def fold_accents(x: Column) -> Column:
 
 def transliterate(x: Column) -> Column:
     """Indic letters by their place in the block; every other character beyond ASCII goes."""
-    place = {int(h, 16): latin for latin, hs in X.BRAHMIC.items() for h in hs.split()}
-    known = [(chr(c), place[c % 0x80]) for c in range(0x0900, 0x0D80) if c % 0x80 in place]
+    known = [(chr(c), X.BRAHMIC[c % 0x80]) for c in range(0x0900, 0x0D80) if c % 0x80 in X.BRAHMIC]
     return F.regexp_replace(F.translate(x, "".join(k for k, _ in known), "".join(v for _, v in known)), r"[^\x00-\x7F]", "")
 
 
@@ -107,6 +106,11 @@ def sorted_core(nn: Column, legal: list[str], stop: list[str], distinct: bool =
     return F.when(F.size(t) >= least, joined(F.array_sort(t))).otherwise("")
 
 
+def tokens(nn: Column, least: int, *lists: list[str]) -> Column:
+    """The words of a normalised name of at least ``least`` letters that are in none of the lists, in order."""
+    return F.filter(without(words(nn), *lists), lambda t: F.length(t) >= least)
+
+
 def first_long(tokens: Column, n: int) -> Column:
     return F.coalesce(F.get(F.filter(tokens, lambda t: F.length(t) >= n), F.lit(0)), F.lit(""))
 
@@ -124,7 +128,7 @@ def phonetic(w: Column) -> Column:
     """First letter and the codes of the coded letters behind it; equal neighbours once, vowels don't part them."""
     letters, codes = "".join(X.SOUNDEX.values()), "".join(k * len(v) for k, v in X.SOUNDEX.items())
     w = F.lower(w)
-    body = F.translate(F.regexp_replace(F.expr("''") if w is None else F.substring(w, 2, 1 << 30), f"[^{letters}]", ""), letters, codes)
+    body = F.translate(F.regexp_replace(F.substring(w, 2, 1 << 30), f"[^{letters}]", ""), letters, codes)
     for k in X.SOUNDEX:
         body = F.regexp_replace(body, f"{k}+", k)
     return F.when(w == "", "").otherwise(F.rpad(F.substring(F.concat(F.substring(w, 1, 1), body), 1, 4), 4, "0"))
@@ -137,6 +141,5 @@ def phonetic_reset(w: Column) -> Column:
     coded = F.translate(F.regexp_replace(a, f"[^{letters}]", "0"), letters, codes)
     for k in X.SOUNDEX:
         coded = F.regexp_replace(coded, f"{k}+", k)
-    head = F.regexp_replace(a, f"[^{letters}]", "0")
     tail = F.replace(F.substring(coded, 2, 1 << 30), F.lit("0"), F.lit(""))
-    return F.when(a == "", "").otherwise(F.rpad(F.substring(F.concat(F.upper(F.substring(a, 1, 1)), F.when(head == "", "").otherwise(tail)), 1, 4), 4, "0"))
+    return F.when(a == "", "").otherwise(F.rpad(F.substring(F.concat(F.upper(F.substring(a, 1, 1)), tail), 1, 4), 4, "0"))

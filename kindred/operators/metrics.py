@@ -12,7 +12,7 @@ def f_half(p: Column, r: Column) -> Column:
 
 def per_entity(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """pred, truth: (id, ids array); tp, fp, fn by entity of truth or pred."""
-    x = truth.select("id", F.col("ids").alias("t")).join(pred.select("id", F.col("ids").alias("p")), "id", "left")
+    x = truth.select("id", F.col("ids").alias("t")).join(pred.select("id", F.col("ids").alias("p")), "id", "full")
     t, p = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("t", "p"))
     hit = F.size(F.array_intersect(t, p))
     return x.select("id", hit.alias("tp"), (F.size(p) - hit).alias("fp"), (F.size(t) - hit).alias("fn"))
@@ -47,11 +47,18 @@ def candidate_recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def sweep(scored: DataFrame, truth: DataFrame, thresholds: list[int]) -> DataFrame:
-    """One pass over scored pairs (s1, cid, score) for all thresholds: tp, fp, fn by threshold."""
-    t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")
-    x = scored.join(truth.select("s1", "cid", F.lit(1).alias("true")), ["s1", "cid"], "left").select("score", "true", t).where("score >= threshold")
-    n = truth.agg(F.count("*").alias("n"))
-    return x.groupBy("threshold").agg(F.coalesce(F.sum("true"), F.lit(0)).alias("tp"), F.sum(F.when(F.col("true").isNull(), 1).otherwise(0)).alias("fp")).join(F.broadcast(n)).select("threshold", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"))
+    """One pass over scored pairs (s1, cid, score) for all thresholds: tp, fp, fn, precision, recall, f_half by
+    threshold (also of those that no pair reaches), and best: the first threshold with the highest f_half."""
+    true = scored.join(truth.select("s1", "cid", F.lit(1).alias("true")), ["s1", "cid"], "left").agg(
+        *[F.coalesce(F.sum(F.when(F.col("score") >= t, F.coalesce(F.col("true"), F.lit(0)))), F.lit(0)).alias(f"tp{i}") for i, t in enumerate(thresholds)],
+        *[F.coalesce(F.sum(F.when((F.col("score") >= t) & F.col("true").isNull(), 1)), F.lit(0)).alias(f"fp{i}") for i, t in enumerate(thresholds)],
+    )
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(thresholds)])).alias("r")
+    x = true.select(rows).select("r.*").join(truth.agg(F.count("*").alias("n"))).select("threshold", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"))
+    p, r = (F.when(F.col("tp") + F.col(k) > 0, F.col("tp") / (F.col("tp") + F.col(k))).otherwise(0.0) for k in ("fp", "fn"))
+    x = x.withColumns({"precision": p, "recall": r}).withColumn("f_half", f_half(F.col("precision"), F.col("recall")))
+    first = x.agg(F.min(F.struct((-F.col("f_half")).alias("f"), F.col("threshold"))).alias("first")).select(F.col("first.threshold").alias("first"))
+    return x.join(first).withColumn("best", F.col("threshold") == F.col("first")).drop("first")
 
 
 def attribution(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -64,15 +71,25 @@ def miss_reason(non_latin: Column, shares_name: Column, missing: Column, conflic
 
 
 def stratified_split(df: DataFrame, id_col: str, stratum: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """is_val for half-even rounded share of each stratum, in the order of a hash of the id."""
+    """is_val for the half-even rounded share of each stratum, in the order of a digest of id and seed."""
     w = Window.partitionBy(stratum)
-    order = w.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    order = w.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")).cast("binary")), id_col)
     return df.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(order)}).withColumn("is_val", F.col("k") <= F.bround(F.col("n") * share)).drop("n", "k")
 
 
 def promote(delta: Column, least: float = 0.005) -> Column:
+    """Whether a gain of F0.5 is enough to adopt a profile."""
     return delta >= least
 
 
+def reproduces(found: Column, published: Column, within: float = 1e-4) -> Column:
+    return F.abs(found - published) <= within
+
+
+def held_out(df: DataFrame, split: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id the split marks for validation."""
+    return df.join(split.where("is_val").select(id_col), id_col, "left_semi")
+
+
 def size_profile(sizes: DataFrame, col: str) -> DataFrame:
     return sizes.agg(F.avg(col).alias("mean"), F.expr(f"percentile({col}, 0.5)").alias("median"), F.expr(f"percentile({col}, 0.95)").alias("p95"))

@@ -95,26 +95,40 @@ def _first() -> Column:
 def _decoupled() -> Column:
     eq, missing, street = S.same_number(L, R), S.number_missing(L, R), S.same(L.s_tok, R.s_tok)
     return _chain(
-        (PAIR.channel == "exact", _chain((eq, 100), (missing & street, 85), (missing & (PAIR.bucket <= 3), 80))),
-        (PAIR.channel == "core", _chain((eq, 90), (missing & street, 80), (missing & (PAIR.bucket <= 2), 75))),
-        (PAIR.channel == "sorted", _chain((eq, 88), (missing & street, 80), (missing & (PAIR.bucket <= 2), 75))),
+        (PAIR.channel == "exact", _chain((eq, 100), (missing & (PAIR.bucket <= 3), 80), (missing & street, 85))),
+        (PAIR.channel == "core", _chain((eq, 90), (missing & (PAIR.bucket <= 2), 75), (missing & street, 80))),
+        (PAIR.channel == "sorted", _chain((eq, 88), (missing & (PAIR.bucket <= 2), 75), (missing & street, 80))),
         (PAIR.channel == "number_token", _chain((street, 85), (PAIR.bucket == 1, 78))),
         (PAIR.channel == "anchor", _chain((PAIR.bucket <= 2, 72), (R.indic, 71), (_initial(), 71), (PAIR.bucket <= 4, 70))),
     )
 
 
+def _evaluated() -> Column:
+    """v04 as its evaluation runs it."""
+    eq, missing, street = S.same_number(L, R), S.number_missing(L, R), S.same(L.s_tok, R.s_tok)
+    return _chain(
+        (PAIR.channel == "exact", _chain((eq, 100), (missing & (PAIR.bucket <= 3), 80), (missing & street, 85))),
+        (PAIR.channel == "core", _chain((eq, 90), (missing & (PAIR.bucket <= 2), 75), (missing & street, 80))),
+        (PAIR.channel == "sorted", _chain((eq, 88), (missing & (PAIR.bucket <= 2), 75), (missing & street, 80))),
+        (PAIR.channel == "number_token", _chain((street, 85), (PAIR.bucket == 1, 78))),
+        (PAIR.channel == "anchor", _chain((PAIR.bucket == 1, 74), (R.indic, 73), (_initial(), 72), (PAIR.bucket <= 3, 70))),
+    )
+
+
 def tuner() -> Column:
-    """The graded scorer of the tuner; bucket is the size of the candidate union."""
-    eq, conflict = S.same_number(L, R), S.number_conflict(L, R)
-    n_shared = F.size(F.array_intersect(L.toks, R.toks))
-    overlap = S.shared_address(L, R)
+    """The graded scorer of the tuner; bucket is the size of the candidate union.  A pair that a rule on shared words
+    doesn't settle goes on to the next one."""
+    eq, street = S.same_number(L, R), S.same(L.s_tok, R.s_tok)
+    shared, overlap = F.size(F.array_intersect(L.name_toks, R.name_toks)), F.size(F.array_intersect(L.addr_words, R.addr_words))
+    near = street | (overlap >= 1)
     return _chain(
-        (conflict, 0),
-        (L.nn == R.nn, _chain((eq, 100), (PAIR.bucket <= 2, 92), (overlap, 88), (PAIR.bucket <= 5, 85))),
-        (S.same(L.core, R.core), _chain((eq, 95), (PAIR.bucket <= 2, 85), (overlap, 82))),
-        (n_shared >= 2, _chain((eq, 90), (overlap, 80))),
-        ((n_shared == 1) & eq, 85),
-        (eq & S.same(L.s_tok, R.s_tok) & (PAIR.bucket <= 4), 78),
+        (S.number_conflict(L, R), 0),
+        (L.nn == R.nn, _chain((eq, 100), (PAIR.bucket <= 2, 92), (PAIR.bucket <= 5, 85), (near, 88))),
+        (S.same(L.core, R.core), _chain((eq, 95), (PAIR.bucket <= 2, 85), (near, 82))),
+        ((shared >= 2) & eq, 90),
+        ((shared >= 2) & (street | (overlap >= 2)), 80),
+        ((shared >= 1) & eq & near, 85),
+        (eq & street & (PAIR.bucket <= 4), 78),
     )
 
 
@@ -122,6 +136,8 @@ SCORERS = {
     "equal": lambda: F.lit(100),
     "s1": _first,
     "s2": _decoupled,
+    "s3": _evaluated,
+    "s7": tuner,
     "s4": lambda: _rebound(False),
     "s5": lambda: _rebound(True),
     "s6a": lambda: _graded({"street": (0.30, 0.40), "other": (0.35, 0.50), "floor": 86, "anchor": (0.30, 0.45), "initial": 0.30, "token": (0.33, 0.45), "pin": (0.33, 0.45)}),

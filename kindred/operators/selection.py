@@ -38,6 +38,28 @@ def fallback(df: DataFrame) -> DataFrame:
     return df.where("channel <> 'core'").unionByName(df.where("channel = 'core'").join(has, "s1", "left_anti").select(*df.columns)).groupBy(*PAIR).agg(F.max("score").alias("score"))
 
 
+def both_empty(df: DataFrame) -> DataFrame:
+    """A channel counts only if none before it accepted for either source; then with all its hits."""
+    df = df.withColumn("step", channel_rank())
+    first = df.groupBy("s1").agg(F.min("step").alias("first"))
+    return df.join(first, "s1").where("step = first").groupBy(*PAIR).agg(F.max("score").alias("score"))
+
+
+def visited(pairs: DataFrame, hits: DataFrame, merge: str) -> DataFrame:
+    """The pairs that a fallback looks at, whatever their score: a channel is tried while it is needed."""
+    if merge not in ("ladder", "both_empty", "fallback"):
+        return pairs
+    hits = hits.withColumn("step", channel_rank())
+    first = hits.groupBy("s1", "src").agg(F.min("step").alias("step"), F.max((F.col("channel") == "exact").cast("int")).alias("exact"))
+    by = first.groupBy("s1").agg(F.min("step").alias("any"), F.max("step").alias("all"), F.count("*").alias("n"), F.max("exact").alias("exact"))
+    need = {
+        "ladder": F.col("all").isNull() | (F.col("n") < 2) | (channel_rank() <= F.col("all")),
+        "both_empty": F.col("any").isNull() | (channel_rank() <= F.col("any")),
+        "fallback": (F.col("channel") != "core") | (F.coalesce("exact", F.lit(0)) == 0),
+    }[merge]
+    return pairs.join(by, "s1", "left").where(need).select(*pairs.columns)
+
+
 def top_k(df: DataFrame, k: int, ties: str = "desc") -> DataFrame:
     order = [F.desc("score"), F.desc("cid") if ties == "desc" else F.asc("cid")]
     return rank(df, order).where(F.col("rank") <= k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +13,45 @@ from ..operators import blocking, scoring, selection
 from .profiles import PROFILES, Profile
 
 
+_KEPT: deque[DataFrame] = deque()
+KEEP = 4
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Stored when first used, because keys and both sides of the pairs read it; blocks that are lost or let go (only
+    the last KEEP tables are held) are computed again."""
+    while len(_KEPT) >= KEEP:
+        old = _KEPT.popleft()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
 def scored_pairs(records: DataFrame, profile: Profile | str) -> tuple[DataFrame, DataFrame]:
     """(features, pairs with channel, bucket and score); gated pairs only, also with score 0."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
-    features = blocking.with_features(records, p)
-    pairs = blocking.paired(blocking.candidates(features, p), features)
+    features = kept(blocking.with_features(records, p))
+    found = blocking.candidates(features, p)
+    if p.merge == "union":  # each pair once, beside the number of its reference record's candidates
+        found = found.select("s1", "cid", "src").distinct()
+        found = found.join(found.groupBy("s1").agg(F.count("*").alias("bucket")), "s1").withColumn("channel", F.lit("union"))
+    pairs = blocking.paired(found, features)
     if p.gate:
         pairs = pairs.where(S.gate(scoring.L, scoring.R, *p.gate))
     return features, pairs.select("s1", "src", "cid", "channel", "bucket", scoring.SCORERS[p.scorer]().alias("score"))
 
 
+def accepted(pairs: DataFrame, p: Profile) -> DataFrame:
+    return pairs.where(F.col("score") > 0).where(F.col("score") >= p.threshold)
+
+
 def select(pairs: DataFrame, p: Profile) -> DataFrame:
     """Accepted (s1, src, cid, score, rank)."""
-    hits = pairs.where(F.col("score") > 0).where(F.col("score") >= p.threshold)
+    hits = accepted(pairs, p)
     if p.merge == "append":
         return selection.top_k_rows(hits, p.top)
-    merged = {"max": selection.max_merge, "ladder": selection.ladder, "fallback": selection.fallback}[p.merge](hits)
+    merged = {"max": selection.max_merge, "union": selection.max_merge, "ladder": selection.ladder, "fallback": selection.fallback, "both_empty": selection.both_empty}[p.merge](hits)
     if p.match_cap:
         merged = selection.first_n(merged, p.match_cap)
     if p.tiers:
@@ -44,10 +70,13 @@ def match(records: DataFrame, profile: Profile | str) -> DataFrame:
 
 
 def candidate_lists(records: DataFrame, profile: Profile | str) -> DataFrame:
-    """source1_entity_id and candidate_entity_ids: pairs looked at, at most candidate_cap a source."""
+    """source1_entity_id and candidate_entity_ids: pairs looked at, whatever their score; profiles that index the
+    reference list the first candidate_cap a source that scored."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
     _, pairs = scored_pairs(records, p)
-    seen = selection.max_merge(pairs)
+    if p.index_side == "reference":
+        pairs = pairs.where(F.col("score") > 0)
+    seen = selection.max_merge(selection.visited(pairs, accepted(pairs, p), p.merge))
     seen = selection.first_n(seen, p.candidate_cap) if p.candidate_cap else seen
     reference = records.where("entity_id like 'S1-%'").select("entity_id").distinct()
     return selection.lists(seen, reference, False, "candidate_entity_ids")

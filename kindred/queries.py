@@ -11,7 +11,8 @@ from .functions import address as A
 from .functions import lexicons as X
 from .functions import similarity as S
 from .functions import text as T
-from .operators import blocking, metrics, scoring, selection, validation
+from . import profile_sql as Q
+from .operators import analysis, blocking, metrics, scoring, selection, validation
 from .plans import engine
 from .plans.profiles import PROFILES
 from .sources import fixtures
@@ -83,14 +84,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normalisers ------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, nullif({NORM.format(x='text')}, '') AS v FROM documents")
-def norm_v01(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.nullif(T.collapse(T.unpunctuate(F.lower("text"))), F.lit("")).alias("v"))
+def _normaliser(name: str, mode: str) -> None:
+    def f(spark, sf_dir):
+        return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.normalize(F.col("text"), mode).alias("v"))
+
+    f.__name__ = name
+    query(f"SELECT doc_id, {Q.normalized('text', mode)} AS v FROM documents")(f)
 
 
-@query(f"SELECT doc_id, {NORM.format(x='translate(lower(text), ' + repr(''.join(X.ACCENTS.values())) + ', ' + repr(''.join(k * len(v) for k, v in X.ACCENTS.items())) + ')')} AS v FROM documents")
-def norm_fold(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.collapse(T.unpunctuate(T.fold_accents(F.lower("text")))).alias("v"))
+_normaliser("norm_v01", "exact")
+_normaliser("norm_marks", "marks")
+_normaliser("norm_fold", "latin")
+_normaliser("norm_domains", "domains")
+_normaliser("norm_champion", "champion")
 
 
 _MARKS = "".join(ch for ch in string.punctuation if ch != "_").replace("'", "''")
@@ -104,11 +110,6 @@ def norm_drop(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.normalize(F.col("text"), "ascii").alias("v"))
 
 
-@query()
-def norm_marks(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.normalize(F.col("text"), "marks").alias("v"))
-
-
 @query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(url, '.com', ' '), '.org', ' '), '.net', ' '), '.in', ' '), '.co', ' '), '.fr', ' '), 'www.', ' ') AS v FROM pages")
 def domain_strip(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_domains(F.col("url")).alias("v"))
@@ -183,36 +184,11 @@ def building_veto_relaxed(spark, sf_dir):
     return _exact_pairs(spark, sf_dir).select("s1", "cid", S.vetoes(scoring.L, scoring.R, True)["building"].alias("building_veto"))
 
 
-def _gated(name: str, relaxed: bool, rule: str) -> None:
-    def f(spark, sf_dir):
-        return _exact_pairs(spark, sf_dir).groupBy(F.coalesce(S.gate_reason(scoring.L, scoring.R, relaxed, rule), F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
-
-    f.__name__ = name
-    query()(f)
-
-
-_gated("addr_gate_strict", False, "words")
-_gated("addr_gate_relaxed", True, "names")
-
-
 @query(f"WITH {PAIRS_SQL} SELECT s1, cid FROM pairs")
 def block_exact(spark, sf_dir):
     return _exact_pairs(spark, sf_dir).select("s1", "cid")
 
 
-def _channel(name: str, channel: str, profile: str) -> None:
-    def f(spark, sf_dir):
-        p = PROFILES[profile]
-        return blocking.candidates(_features(spark, sf_dir, profile), p).where(c("channel") == channel).groupBy("src").agg(F.count("*").alias("pairs"), F.countDistinct("s1").alias("entities"))
-
-    f.__name__ = name
-    query()(f)
-
-
-for _name, _c, _p in (("block_core", "core", "v13"), ("block_sorted", "sorted", "v13"), ("block_bnum_prefix", "prefix", "v13"), ("block_addr_anchor", "anchor", "v13"), ("block_tok_street", "token_street", "v13"), ("block_sound_street", "sound_street", "v13"), ("block_spaceless", "spaceless", "v12"), ("block_brand_state", "brand_state", "v12"), ("block_pin", "pin", "v13"), ("block_number_token", "number_token", "v04")):
-    _channel(_name, _c, _p)
-
-
 @query(f"WITH {F_SQL}, k AS (SELECT entity_id, c, post || '|' || left(nn, 4) AS key, row_number() OVER (PARTITION BY c, post, left(nn, 4) ORDER BY entity_id) AS n FROM f WHERE post <> '' AND length(nn) >= 4 AND src = 'S1') SELECT entity_id, c AS country, key FROM k WHERE n <= 6")
 def block_capped_first_n(spark, sf_dir):
     p = PROFILES["v12"]
@@ -256,11 +232,6 @@ def arrival_cap(spark, sf_dir):
     return selection.first_n(_scored(spark, sf_dir), 5).select("s1", "src", "cid", "score")
 
 
-@query()
-def fallback_ladder(spark, sf_dir):
-    return engine.match(fixtures.part_records(spark, sf_dir), "v04").select("source1_entity_id", F.array_join("matched_entity_ids", ",").alias("ids"))
-
-
 @query(f"WITH {SCORED_SQL}, a AS (SELECT s1, src, cid, row_number() OVER (PARTITION BY s1, src ORDER BY score DESC, cid) AS n FROM scored) SELECT s1, string_agg(cid, ',' ORDER BY src) AS ids FROM a WHERE n = 1 GROUP BY s1")
 def prune_top1(spark, sf_dir):
     ranked = selection.rank(_scored(spark, sf_dir), [F.desc("score"), "cid"]).where("rank <= 5")
@@ -300,9 +271,16 @@ def candidate_recall(spark, sf_dir):
     return metrics.candidate_recall(_exact_pairs(spark, sf_dir), fixtures.part_truth(r)).select("true_pairs", "hits", F.round("recall", 9).alias("recall"))
 
 
-@query(f"WITH {SCORED_SQL}, {TRUTH_SQL}, t AS (SELECT unnest([74, 76, 78, 80, 82, 84, 86, 88, 96, 99]) AS threshold) SELECT t.threshold, count(u.s1) AS tp, count(*) - count(u.s1) AS fp, (SELECT count(*) FROM truth) - count(u.s1) AS fn FROM scored s JOIN t ON s.score >= t.threshold LEFT JOIN truth u ON s.s1 = u.s1 AND s.cid = u.cid GROUP BY t.threshold")
+SWEEP = [74, 76, 78, 80, 82, 84, 86, 88, 96, 99, 101]
+
+
+@query(f"""WITH {SCORED_SQL}, {TRUTH_SQL}, t AS (SELECT unnest({SWEEP}) AS threshold), n AS (
+  SELECT threshold, (SELECT count(*) FROM scored s JOIN truth u ON s.s1 = u.s1 AND s.cid = u.cid WHERE score >= threshold) AS tp, (SELECT count(*) FROM scored s WHERE score >= threshold) AS found, (SELECT count(*) FROM truth) AS known FROM t), m AS (
+  SELECT *, CASE WHEN found > 0 THEN tp / found ELSE 0.0 END AS p, tp / known AS r FROM n), rated AS (SELECT *, CASE WHEN 0.25 * p + r > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0.0 END AS fh FROM m)
+SELECT threshold, tp, found - tp AS fp, known - tp AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(fh, 9) AS f_half, threshold = (SELECT threshold FROM rated ORDER BY fh DESC, threshold LIMIT 1) AS best FROM rated""")
 def threshold_sweep(spark, sf_dir):
-    return metrics.sweep(_scored(spark, sf_dir), fixtures.part_truth(fixtures.part_records(spark, sf_dir)), [74, 76, 78, 80, 82, 84, 86, 88, 96, 99])
+    found = metrics.sweep(_scored(spark, sf_dir), fixtures.part_truth(fixtures.part_records(spark, sf_dir)), SWEEP)
+    return found.select("threshold", "tp", "fp", "fn", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f_half")], "best")
 
 
 @query(f"WITH {SCORED_SQL}, {TRUTH_SQL} SELECT CAST(score AS VARCHAR) AS rule, count(*) AS fp FROM scored s WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = s.s1 AND t.cid = s.cid) GROUP BY score")
@@ -310,25 +288,228 @@ def fp_by_rule(spark, sf_dir):
     return metrics.attribution(_scored(spark, sf_dir).withColumn("rule", c("score").cast("string")), fixtures.part_truth(fixtures.part_records(spark, sf_dir)))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT CASE WHEN len(list_intersect(lt, rt)) = 0 THEN 'no_shared_name' WHEN lb = 0 OR rb = 0 THEN 'missing_number' WHEN lb <> rb THEN 'conflicting_number' ELSE 'fuzzy' END AS reason, count(*) AS n FROM pairs GROUP BY 1")
+@query("SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-42'), doc_id) <= round_even(count(*) OVER (PARTITION BY quality) * 0.2, 0) AS is_val FROM labels")
+def stratified_split(spark, sf_dir):
+    return metrics.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id", "quality")
+
+
+@query("SELECT a.doc_id, a.toxic FROM labels a JOIN (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-42'), doc_id) <= round_even(count(*) OVER (PARTITION BY quality) * 0.2, 0) AS is_val FROM labels) b USING (doc_id) WHERE is_val")
+def held_out(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return metrics.held_out(labels.select("doc_id", "toxic"), metrics.stratified_split(labels.select("doc_id", "quality"), "doc_id", "quality"), "doc_id")
+
+
+BROKEN_SQL = f"""{Q.FIRMS}, n AS (SELECT entity_id AS id, CAST(split_part(entity_id, '-', 2) AS BIGINT) // 4 % 10 AS d FROM records WHERE entity_id LIKE 'S1-%')"""
+
+
+@query(f"""WITH {BROKEN_SQL} SELECT 'missing_row' AS rule, id AS offender FROM n WHERE d = 0
+UNION ALL SELECT 'duplicate_row', id FROM n WHERE d = 1 UNION ALL SELECT 'repeated_id', id FROM n WHERE d = 2 UNION ALL SELECT 'self_match', id FROM n WHERE d = 3
+UNION ALL SELECT 'wrong_prefix', 'X' || id FROM n WHERE d = 4 UNION ALL SELECT 'unknown_id', 'S2-x' || id FROM n WHERE d = 5 UNION ALL SELECT 'extra_row', id || 'x' FROM n WHERE d = 6
+UNION ALL SELECT 'warning_not_candidate', id FROM n WHERE d IN (3, 4, 5, 7)""")
+def validate_output(spark, sf_dir):
+    records = fixtures.firm_records(spark, sf_dir)
+    required = records.where("entity_id like 'S1-%'").select(c("entity_id").alias("id"))
+    n = required.withColumn("d", F.floor(F.substring_index("id", "-", -1).cast("long") / 4) % 10)
+    ids = F.when(c("d") == 2, F.array(F.lit("S2-1"), F.lit("S2-1"))).when(c("d") == 3, F.array("id")).when(c("d") == 4, F.array(F.concat(F.lit("X"), "id"))).when(c("d") == 5, F.array(F.concat(F.lit("S2-x"), "id"))).when(c("d") == 7, F.array(F.lit("S2-2"))).otherwise(F.array().cast("array<string>"))
+    rows = n.where("d <> 0").select("d", c("id").alias("source1_entity_id"), ids.alias("matched_entity_ids"))
+    extra = n.where("d = 6").select(F.concat("id", F.lit("x")).alias("source1_entity_id"), F.array().cast("array<string>").alias("matched_entity_ids"))
+    results = rows.drop("d").unionAll(rows.where("d = 1").drop("d")).unionAll(extra)
+    seen = rows.select("source1_entity_id", F.array(F.lit("S2-1")).alias("candidate_entity_ids"))
+    return validation.breaches(results, required, records.where("entity_id not like 'S1-%'").select(c("entity_id").alias("id")), seen)
+
+
+@query(f"WITH {BROKEN_SQL}, o AS (SELECT d, id, row_number() OVER (PARTITION BY d ORDER BY id) AS k FROM n) SELECT CAST(d AS VARCHAR) AS rule, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (WHERE k <= 5) AS examples FROM o GROUP BY d")
+def breach_summary(spark, sf_dir):
+    required = fixtures.firm_records(spark, sf_dir).where("entity_id like 'S1-%'").select(c("entity_id").alias("offender"))
+    found = required.select((F.floor(F.substring_index("offender", "-", -1).cast("long") / 4) % 10).cast("string").alias("rule"), "offender")
+    return validation.summary(found).select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+# Firm records: features, channels, gates, scores and whole profiles ---------------------------------------------
+
+
+_SETS = ("toks", "grams", "a_toks")
+_LISTS = ("name_toks", "addr_words")
+
+
+def _firm_features(profile: str) -> None:
+    plain = [x for x in blocking.FEATURES if x not in (*_SETS, *_LISTS)]
+
+    def f(spark, sf_dir):
+        x = blocking.with_features(fixtures.firm_records(spark, sf_dir), PROFILES[profile])
+        return x.select("entity_id", *plain, *[F.array_join(F.array_sort(n), "|").alias(n) for n in _SETS], *[F.array_join(n, "|").alias(n) for n in _LISTS])
+
+    f.__name__ = f"features_{profile}"
+    query(f"WITH {Q.features(PROFILES[profile])} SELECT entity_id, {', '.join(plain)}, {', '.join(f'array_to_string(list_sort({n}), $$|$$) AS {n}' for n in _SETS)}, {', '.join(f'array_to_string({n}, $$|$$) AS {n}' for n in _LISTS)} FROM f")(f)
+
+
+for _p in ("v01", "v02", "v03", "v05", "v06", "v09", "v11", "v12", "v13"):
+    _firm_features(_p)
+
+
+def _channel(name: str, channel: str, profile: str) -> None:
+    def f(spark, sf_dir):
+        p = PROFILES[profile]
+        found = blocking.candidates(blocking.with_features(fixtures.firm_records(spark, sf_dir), p), p)
+        return found.where(c("channel") == channel).select("s1", "cid", "src").distinct()
+
+    f.__name__ = name
+    query(Q.channel_pairs(profile, channel))(f)
+
+
+for _name, _c, _p in (("block_core", "core", "v13"), ("block_sorted", "sorted", "v13"), ("block_sorted_v12", "sorted", "v12"), ("block_bnum_prefix", "prefix", "v13"), ("block_addr_anchor", "anchor", "v13"), ("block_addr_anchor_exact", "anchor", "v05"), ("block_tok_street", "token_street", "v13"), ("block_sound_street", "sound_street", "v13"), ("block_spaceless", "spaceless", "v12"), ("block_brand_state", "brand_state", "v12"), ("block_pin", "pin", "v13"), ("block_number_token", "number_token", "v04"), ("block_number_two_tokens", "number_tokens", "tuner"), ("block_two_words", "two_words", "tuner")):
+    _channel(_name, _c, _p)
+
+
+def _gated(name: str, profile: str) -> None:
+    def f(spark, sf_dir):
+        p = PROFILES[profile]
+        features = engine.kept(blocking.with_features(fixtures.firm_records(spark, sf_dir), p))
+        pairs = blocking.paired(blocking.candidates(features, p).select("s1", "cid").distinct(), features)
+        return pairs.select("s1", "cid", F.coalesce(S.gate_reason(scoring.L, scoring.R, *p.gate), F.lit("pass")).alias("reason"))
+
+    f.__name__ = name
+    query(Q.gate_reasons(profile))(f)
+
+
+for _name, _p in (("addr_gate_distinctive", "v11"), ("addr_gate_relaxed", "v12"), ("addr_gate_strict", "v13")):
+    _gated(_name, _p)
+
+
+def _scores(profile: str) -> None:
+    def f(spark, sf_dir):
+        return engine.scored_pairs(fixtures.firm_records(spark, sf_dir), profile)[1].select("s1", "src", "cid", "channel", "score")
+
+    f.__name__ = f"scores_{profile}"
+    query(Q.channel_scores(profile))(f)
+
+
+def _candidate_lists(profile: str) -> None:
+    def f(spark, sf_dir):
+        return engine.candidate_lists(fixtures.firm_records(spark, sf_dir), profile).select("source1_entity_id", F.array_join("candidate_entity_ids", ",").alias("ids"))
+
+    f.__name__ = f"candidates_{profile}"
+    query(Q.candidate_lists(profile))(f)
+
+
+for _p in PROFILES:
+    _scores(_p)
+    _candidate_lists(_p)
+
+
+# Analysis of what blocking finds ----------------------------------------------------------------------------
+
+
+def _firms(spark, sf_dir, profile):
+    records = fixtures.firm_records(spark, sf_dir)
+    features, scored = engine.scored_pairs(records, profile)
+    return records, features, scored, fixtures.firm_truth(records)
+
+
+_RESET = lambda x: "CASE WHEN {a} = '' THEN '' ELSE rpad(substr(upper(substr({a}, 1, 1)) || replace(substr({k}, 2), '0', ''), 1, 4), 4, '0') END".format(a=f"regexp_replace(lower({x}), '[^a-z]', '', 'g')", k="".join("regexp_replace(" for _ in range(6)) + f"translate(regexp_replace(regexp_replace(lower({x}), '[^a-z]', '', 'g'), '[^bfpvcgjkqsxzdtlmnr]', '0', 'g'), 'bfpvcgjkqsxzdtlmnr', '111122222222334556')" + "".join(f", '{k}+', '{k}', 'g')" for k in "123456"))
+_NUM, _NAMES, _ADDR = Q.EQ, "(len(list_intersect(l.name_toks, r.name_toks)) > 0)", "(len(list_intersect(l.addr_words, r.addr_words)) > 0)"
+_TESTS = {"exact": Q.same("nn"), "core": Q.same("core"), "sorted": Q.same("sorted_core"), "anchor": f"{_NUM} AND {Q.same('s_tok')}", "number_name": f"{_NUM} AND {_NAMES}", "prefix": f"{_NUM} AND length(l.nn) >= 4 AND left(l.nn, 4) = left(r.nn, 4)", "name_address": f"{_NAMES} AND {_ADDR}", "two_words": "len(l.w) >= 2 AND l.w[1:2] = r.w[1:2]", "sound_number": f"{_NUM} AND l.first_sound <> '' AND l.first_sound = r.first_sound", "number_address": f"{_NUM} AND {_ADDR}"}
+_TESTS["v03"] = " OR ".join(f"({_TESTS[k]})" for k in ("exact", "core", "anchor"))
+_TESTS["union"] = " OR ".join(f"({_TESTS[k]})" for k in ("v03", "sorted", "number_name", "number_address", "two_words"))
+
+
+@query(f"WITH {Q.features(PROFILES['v04'])}, {Q.FIRM_TRUTH}, g AS (SELECT *, {_RESET('w[1]')} AS first_sound FROM f), x AS (SELECT {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _TESTS.items())} FROM truth JOIN g l ON l.entity_id = s1 JOIN g r ON r.entity_id = cid AND l.c = r.c) " + " UNION ALL ".join(f"SELECT '{k}' AS channel, count(*) FILTER (WHERE x.{k}) AS hits, count(*) AS pairs, round(count(*) FILTER (WHERE x.{k}) / count(*), 9) AS recall FROM x" for k in _TESTS))
+def channel_coverage(spark, sf_dir):
+    _, features, _, truth = _firms(spark, sf_dir, "v04")
+    return analysis.coverage(analysis.truth_pairs(features, truth)).select("channel", "hits", "pairs", F.round("recall", 9).alias("recall"))
+
+
+@query(f"WITH {Q.candidates(PROFILES['tuner'])}, {Q.FIRM_TRUTH}, a AS (SELECT DISTINCT s1, cid, channel FROM cand), u AS (SELECT * FROM a UNION ALL SELECT DISTINCT s1, cid, 'union' FROM a), e AS (SELECT r.entity_id, (SELECT count(*) FROM u WHERE u.s1 = r.entity_id AND channel = 'union') AS n FROM records r WHERE entity_id LIKE 'S1-%') SELECT channel, count(*) AS candidates, round(count(*) / (SELECT count(*) FROM e), 9) AS per_query, count(t.s1) AS hits, round(count(t.s1) / (SELECT count(*) FROM truth), 9) AS recall, CASE WHEN channel = 'union' THEN (SELECT quantile_cont(n, 0.5) FROM e) END AS median, CASE WHEN channel = 'union' THEN (SELECT round(quantile_cont(n, 0.95), 9) FROM e) END AS p95 FROM u LEFT JOIN truth t ON u.s1 = t.s1 AND u.cid = t.cid GROUP BY channel")
+def channel_sizing(spark, sf_dir):
+    records = fixtures.firm_records(spark, sf_dir)
+    p = PROFILES["tuner"]
+    found = blocking.candidates(blocking.with_features(records, p), p)
+    sized = analysis.sizing(found, fixtures.firm_truth(records), records.where("entity_id like 'S1-%'").select(c("entity_id").alias("s1")))
+    return sized.select("channel", "candidates", F.round("per_query", 9).alias("per_query"), "hits", F.round("recall", 9).alias("recall"), "median", F.round("p95", 9).alias("p95"))
+
+
+@query(f"WITH {Q.chosen(PROFILES['v03'])}, {Q.FIRM_TRUTH} SELECT t.s1, t.cid, CASE WHEN EXISTS (SELECT 1 FROM chosen x WHERE x.s1 = t.s1 AND x.cid = t.cid) THEN 'found' WHEN EXISTS (SELECT 1 FROM scored x WHERE x.s1 = t.s1 AND x.cid = t.cid) THEN 'rejected' WHEN NOT {_NAMES} THEN 'no_shared_name' WHEN {Q.MISSING} THEN 'missing_number' WHEN {Q.CONFLICT} THEN 'conflicting_number' ELSE 'fuzzy' END AS outcome FROM truth t JOIN f l ON l.entity_id = t.s1 JOIN f r ON r.entity_id = t.cid AND l.c = r.c WHERE NOT regexp_matches(r.name, '[\\x{{0250}}-\\x{{FFFF}}]')")
 def fn_taxonomy(spark, sf_dir):
+    """Of pairs in Latin letters; ``test_analysis`` has the others."""
+    records, features, scored, truth = _firms(spark, sf_dir, "v03")
+    latin = records.where(~T.is_non_latin(c("business_name"))).select(c("entity_id").alias("cid"))
+    chosen = engine.select(scored, PROFILES["v03"])
+    return analysis.lost_pairs(analysis.truth_pairs(features, truth.join(latin, "cid", "left_semi")), chosen, scored)
+
+
+_GRID = [(b, n) for b in (1, 2, 3) for n in (True, False)]
+
+
+def _grid_sql() -> str:
+    p = PROFILES["v04e"]
+    base = Q.scored(p)
+    parts = []
+    for b, n in _GRID:
+        parts.append(f"SELECT s1, src, cid, channel, score, 'bucket {b}{', number' if n else ''}' AS config FROM scored WHERE score > 0 AND (channel <> 'anchor' OR bucket <= {b}) {'' if n else chr(65) + 'ND channel <> ' + chr(39) + 'number_token' + chr(39)}")
+    return f"""WITH {base}, {Q.FIRM_TRUTH}, hits AS ({' UNION ALL '.join(parts)}), firsts AS (SELECT *, min({Q._step(p)}) OVER (PARTITION BY config, s1) AS least FROM hits),
+  best AS (SELECT config, s1, src, cid, max(score) AS score FROM firsts WHERE {Q._step(p)} = least GROUP BY ALL), pred AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, s1, src ORDER BY score DESC, cid DESC) AS k FROM best) WHERE k <= 2),
+  ids AS (SELECT config, entity_id AS id FROM (SELECT DISTINCT config FROM hits) CROSS JOIN (SELECT entity_id FROM records WHERE entity_id LIKE 'S1-%')),
+  n AS (SELECT config, id, (SELECT count(*) FROM pred p WHERE p.config = ids.config AND p.s1 = id) AS np, (SELECT count(*) FROM truth t WHERE t.s1 = id) AS nt, (SELECT count(*) FROM pred p JOIN truth t ON p.s1 = t.s1 AND p.cid = t.cid WHERE p.config = ids.config AND p.s1 = id) AS tp FROM ids),
+  m AS (SELECT config, count(*) AS included, avg(CASE WHEN np > 0 THEN tp / np ELSE 0.0 END) AS p, avg(CASE WHEN nt > 0 THEN tp / nt ELSE 0.0 END) AS r FROM n WHERE np + nt > 0 GROUP BY config)
+SELECT config, included, round(p, 9) AS precision, round(r, 9) AS recall, round(1.25 * p * r / (0.25 * p + r), 9) AS f_half FROM m"""
+
+
+def _truth_lists(records, truth):
+    ids = truth.groupBy(c("s1").alias("id")).agg(F.collect_set("cid").alias("ids"))
+    return records.where("entity_id like 'S1-%'").select(c("entity_id").alias("id")).join(ids, "id", "left")
+
+
+@query(_grid_sql())
+def grid_anchor(spark, sf_dir):
+    records, _, scored, truth = _firms(spark, sf_dir, "v04e")
+    configs = {f"bucket {b}{', number' if n else ''}": ((c("channel") != "anchor") | (c("bucket") <= b)) & (F.lit(n) | (c("channel") != "number_token")) for b, n in _GRID}
+    found = analysis.grid(scored, _truth_lists(records, truth), configs, lambda x: engine.select(x, PROFILES["v04e"]))
+    return found.select("config", "included", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f_half")])
+
+
+@query(f"""WITH {Q.candidates(PROFILES['v13'])}, {Q.FIRM_TRUTH}, x AS (SELECT DISTINCT s1, cid, src FROM cand WHERE channel = 'exact'),
+  y AS (SELECT x.*, ({Q.gate_reason(False, 'distinctive')}) IS NULL AS d, ({Q.gate_reason(False, 'words')}) IS NULL AS w FROM x JOIN f l ON l.entity_id = s1 JOIN f r ON r.entity_id = cid),
+  z AS (SELECT 'distinctive' AS strategy, 2 AS most, * FROM y WHERE d UNION ALL SELECT 'words', 2, * FROM y WHERE w UNION ALL SELECT 'top 1', 1, * FROM y WHERE d),
+  pred AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, s1, src ORDER BY cid) AS k FROM z) WHERE k <= most),
+  ids AS (SELECT strategy, entity_id AS id FROM (SELECT DISTINCT strategy FROM z) CROSS JOIN (SELECT entity_id FROM records WHERE entity_id LIKE 'S1-%')),
+  n AS (SELECT strategy, id, (SELECT count(*) FROM pred p WHERE p.strategy = ids.strategy AND p.s1 = id) AS np, (SELECT count(*) FROM truth t WHERE t.s1 = id) AS nt, (SELECT count(*) FROM pred p JOIN truth t ON p.s1 = t.s1 AND p.cid = t.cid WHERE p.strategy = ids.strategy AND p.s1 = id) AS tp FROM ids)
+SELECT strategy, CAST(sum(np) AS BIGINT) AS matches, count(*) AS entities, round(avg(CASE WHEN np + nt = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + (tp / nt)) END), 9) AS f_half FROM n GROUP BY strategy""")
+def strategy_comparison(spark, sf_dir):
+    records = fixtures.firm_records(spark, sf_dir)
+    p = PROFILES["v13"]
+    features = engine.kept(blocking.with_features(records, p))
+    pairs = blocking.paired(blocking.candidates(features, p).where("channel = 'exact'").select("s1", "cid", "src").distinct(), features)
+    strict, loose = S.gate(scoring.L, scoring.R, False, "distinctive"), S.gate(scoring.L, scoring.R, False, "words")
+    found = analysis.strategies(pairs, _truth_lists(records, fixtures.firm_truth(records)), {"distinctive": (strict, 2), "words": (loose, 2), "top 1": (strict, 1)})
+    return found.select("strategy", "matches", "entities", F.round("f_half", 9).alias("f_half"))
+
+
+@query(f"WITH {Q.features(PROFILES['v04'])}, k AS ({Q.channel_keys(PROFILES['v04'])}) SELECT channel, count(DISTINCT c || '|' || key) AS keys, count(*) AS postings FROM k GROUP BY channel")
+def key_counts(spark, sf_dir):
+    p = PROFILES["v04"]
+    return analysis.key_counts(blocking.keys(blocking.with_features(fixtures.firm_records(spark, sf_dir), p), p))
+
+
+@query(f"WITH {Q.candidates(PROFILES['v13'])} SELECT s1, cid, CASE WHEN {Q.differ('state')} THEN 'state' WHEN {Q.differ('post')} THEN 'postcode' WHEN {Q.CONFLICT} AND NOT {Q.NEAR} THEN 'building' WHEN len(l.a_toks) > 0 AND len(r.a_toks) > 0 AND NOT {Q.PROOF} THEN 'no overlap' ELSE 'pass' END AS reason, len(string_split(r.core, ' ')) <> 1 OR {Q.PROOF} AS loose_guard, len(string_split(r.core, ' ')) <> 1 OR {Q.EQ} OR {Q.same('post')} AS guard FROM (SELECT DISTINCT s1, cid FROM cand WHERE channel = 'core') x JOIN f l ON l.entity_id = s1 JOIN f r ON r.entity_id = cid")
+def plain_gate(spark, sf_dir):
+    p = PROFILES["v13"]
+    features = engine.kept(blocking.with_features(fixtures.firm_records(spark, sf_dir), p))
+    pairs = blocking.paired(blocking.candidates(features, p).where("channel = 'core'").select("s1", "cid").distinct(), features)
     l, r = scoring.L, scoring.R
-    reason = metrics.miss_reason(T.is_non_latin(l.nn) | T.is_non_latin(r.nn), F.arrays_overlap(l.toks, r.toks), S.number_missing(l, r), S.number_conflict(l, r))
-    return _exact_pairs(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return pairs.select("s1", "cid", F.coalesce(S.plain_gate_reason(l, r), F.lit("pass")).alias("reason"), S.single_word_guard(l, r, True).alias("loose_guard"), S.single_word_guard(l, r).alias("guard"))
 
 
-@query("SELECT quality, count(*) AS n, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n_val FROM labels GROUP BY quality")
-def stratified_split(spark, sf_dir):
-    x = metrics.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "quality")
-    return x.groupBy("quality").agg(F.count("*").alias("n"), F.sum(c("is_val").cast("long")).alias("n_val"))
+@query(f"""WITH {Q.FIRMS} SELECT entity_id, {_RESET("split_part(business_name, ' ', 1)")} AS sound, CASE WHEN lower(country) = 'india' THEN regexp_extract(business_address, '\\b[1-9]\\d{{{{5}}}}\\b') WHEN lower(country) IN ('us', 'usa', 'united states', 'france') THEN regexp_extract(business_address, '\\b\\d{{{{5}}}}\\b') ELSE '' END AS post,
+  array_to_string(list_filter(list_transform(regexp_extract_all(business_address, '\\b\\d+\\b'), lambda x: CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 9999999)[1:3], ',') AS numbers, len(regexp_extract_all(business_address, '\\b(?:\\d{{{{10}}}}|\\d{{{{6,7}}}})\\b')) > 0 AS registered FROM records""".replace("{{", "{").replace("}}", "}"))
+def address_profile(spark, sf_dir):
+    addr = c("business_address")
+    return fixtures.firm_records(spark, sf_dir).select("entity_id", T.phonetic_reset(F.split("business_name", " ")[0]).alias("sound"), A.postal_code(addr, c("country")).alias("post"), F.array_join(A.numbers(addr).cast("array<string>"), ",").alias("numbers"), A.shares_registration_number(addr, addr).alias("registered"))
 
 
-@query(f"WITH {P} SELECT 'missing_row' AS rule, entity_id AS offender FROM part_records WHERE entity_id LIKE 'S1-%' AND CAST(split_part(entity_id, '-', 2) AS BIGINT) % 10 = 0 UNION ALL SELECT 'self_match', entity_id FROM part_records WHERE entity_id LIKE 'S1-%' AND CAST(split_part(entity_id, '-', 2) AS BIGINT) % 10 = 3 UNION ALL SELECT 'repeated_id', entity_id FROM part_records WHERE entity_id LIKE 'S1-%' AND CAST(split_part(entity_id, '-', 2) AS BIGINT) % 10 = 6")
-def validate_output(spark, sf_dir):
-    r = fixtures.part_records(spark, sf_dir).select(c("entity_id").alias("id")).where("id like 'S1-%'")
-    digit = F.substring_index("id", "-", -1).cast("long") % 10
-    ids = F.when(digit == 3, F.array("id")).when(digit == 6, F.array(F.lit("S2-1"), F.lit("S2-1"))).otherwise(F.array().cast("array<string>"))
-    return validation.breaches(r.where(digit != 0).select(c("id").alias("source1_entity_id"), ids.alias("matched_entity_ids")), r)
+@query(f"WITH {Q.chosen(PROFILES['v12'])}, a AS (SELECT s1, count(*) AS n, count(DISTINCT src) AS kept FROM chosen GROUP BY s1) SELECT CAST(sum(n) AS BIGINT) AS ids_before, (SELECT count(*) FROM records WHERE entity_id LIKE 'S1-%') AS entities, CAST(sum(kept) AS BIGINT) AS ids_after, (SELECT count(*) FROM records WHERE entity_id LIKE 'S1-%') - count(*) AS empty, CAST(sum(n) - sum(kept) AS BIGINT) AS pruned FROM a")
+def prune_totals(spark, sf_dir):
+    found = engine.match(fixtures.firm_records(spark, sf_dir), "v12")
+    return selection.prune_totals(found, selection.prune(found, 1))
 
 
 # End to end -------------------------------------------------------------------------------------------------
@@ -341,11 +522,12 @@ def er_v01_end_to_end(spark, sf_dir):
 
 def _end_to_end(profile: str) -> None:
     def f(spark, sf_dir):
-        return engine.match(fixtures.part_records(spark, sf_dir), profile).select("source1_entity_id", F.array_join("matched_entity_ids", ",").alias("ids"))
+        return engine.match(fixtures.firm_records(spark, sf_dir), profile).select("source1_entity_id", F.array_join("matched_entity_ids", ",").alias("ids"))
 
     f.__name__ = f"er_{profile}_end_to_end"
-    query()(f)
+    query(Q.matches(profile))(f)
 
 
-for _p in ("v02", "v03", "v05", "v06", "v09", "v10", "v11", "v12", "v13"):
-    _end_to_end(_p)
+for _p in PROFILES:
+    if _p != "v01":
+        _end_to_end(_p)

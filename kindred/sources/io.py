@@ -31,9 +31,50 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return df.where("id <> '' and id <> 'entity_id'")
 
 
-def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a results file without exactly one tab."""
-    return spark.read.text(path).where("value <> '' and size(split(value, '\t')) <> 2")
+def header_fault(spark: SparkSession, path: str, expected: list[str]) -> str | None:
+    """What is wrong with the first line of a results file: empty, commas for tabs, or other columns."""
+    first = spark.read.text(path).first()
+    if first is None:
+        return "empty"
+    if "\t" not in first["value"] and "," in first["value"]:
+        return "comma separated"
+    cols = [c.strip().lower() for c in first["value"].split("\t")]
+    return None if cols == expected else f"unexpected header {cols}"
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """source1_entity_id, ids (as written: no trimming, repeats and empty items stay), malformed (a line without a
+    tab) of a results file; blank lines and header lines go."""
+    lines = spark.read.text(path).where("trim(value) <> ''").where(~F.lower("value").startswith("source1_entity_id\t"))
+    rest = F.expr("substring(value, instr(value, '\t') + 1)")
+    malformed = F.instr("value", "\t") == 0
+    ids = F.when(malformed | (F.trim(rest) == ""), F.array().cast("array<string>")).otherwise(F.split(rest, ","))
+    return lines.select(F.substring_index("value", "\t", 1).alias("source1_entity_id"), ids.alias("ids"), malformed.alias("malformed"))
+
+
+def head(df: DataFrame, n: int, id_col: str = "entity_id", keep: DataFrame | None = None) -> DataFrame:
+    """The first n rows in order of id, and those whose id is in keep (id): an evaluation subset."""
+    first = df.orderBy(id_col).limit(n)
+    if keep is None:
+        return first
+    rest = df.join(keep.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    return first.unionByName(rest.join(first.select(id_col), id_col, "left_anti").select(*df.columns))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, n: int = 20, id_col: str = "source1_entity_id") -> DataFrame:
+    """The first n ids that both have, with the other columns of both (of the second one with the suffix _2)."""
+    other = b.select(id_col, *[F.col(c).alias(f"{c}_2") for c in b.columns if c != id_col])
+    return a.join(other, id_col).orderBy(id_col).limit(n)
+
+
+def backup(spark: SparkSession, path: str) -> bool:
+    """Copy path to path.bak unless that exists or there is nothing to copy; whether it did."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".bak")
+    fs = src.getFileSystem(conf)
+    if fs.exists(dst) or not fs.exists(src):
+        return False
+    return bool(jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, fs, dst, False, conf))
 
 
 def write_lists(df: DataFrame, path: str, name: str = "matched_entity_ids", files: int | None = None) -> None:
