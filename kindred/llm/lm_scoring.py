@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, decode_table, encode_table, fold_of, lowered, materialize, mix, n_blocks, pack_blocks, pieces, planes, shard_edges, span_hashes, spans, text_bytes, tidy, unplanes
+from .common import U, binary_column, buffers, decode_table, fold_of, lowered, materialize, mix, n_blocks, pack_blocks, pieces, shard_of, span_hashes, spans, text_bytes, tidy
 
 HELD_FOLD = 1
 BUCKETS = 24
 STEPS = 16  # per octave
 SHARD_BYTES = 8_000_000
 END = U(0x8F1BBCDCCA62C1D7)
-ROW = "shard int, block int, payload binary"
+ROW = "shard int, block int, "
 
 
 def tokens_of(texts):
@@ -93,15 +93,16 @@ class Block:
         return out
 
 
-def narrow(x: np.ndarray) -> bytes:
-    """Counts in one byte each where they fit; larger ones follow as 64-bit words."""
+def narrow(x: np.ndarray, edge: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Cells of counts in one byte each where they fit, and cells of the larger ones in eight."""
     big = x >= 255
-    return np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes()
+    return binary_column(np.where(big, 255, x).astype(np.uint8), edge), binary_column(x[big].astype("<i8"), np.concatenate(([0], np.cumsum(big)))[edge])
 
 
-def widen(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, "<i8", offset=n)
+def widen(small, big) -> np.ndarray:
+    """The counts of all cells one behind the other."""
+    out = buffers(small)[0].astype(np.int64)
+    out[out == 255] = buffers(big)[0].view("<i8")
     return out
 
 
@@ -149,48 +150,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     src = src.withColumn("block", F.when(F.col("fold") == HELD_FOLD, blocks + F.pmod(h, F.lit(held_blocks))).otherwise(F.pmod(h, F.lit(blocks))).cast("int"))
     cols = ["doc_id", "text", "fold"]
 
+    counts = ["train", "train_big", "held", "held_big"]
+    answer = ", ".join(f"{c} binary" for c in counts)
+
     @tidy
     def ask(t: pa.Table) -> pa.Table:
+        """One row a shard with keys: there are never more rows than keys, and both sides read them as arrays."""
         b = Block(t)
         train, held = b.counts()
-        edge = shard_edges(b.keys, shards)
-        items = [(s, encode_table(pa.table({"keys": [planes(b.keys[x:y])], "train": [narrow(train[x:y])], "held": [narrow(held[x:y])]}))) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
-        return pa.table([pa.array([s for s, _ in items], pa.int32()), pa.array([t.column("block")[0].as_py()] * len(items), pa.int32()), pa.array([x for _, x in items], pa.binary())], names=["shard", "block", "payload"])
+        shard = shard_of(b.keys, shards)
+        head = np.flatnonzero(np.diff(shard, prepend=-1))
+        edge = np.append(head, len(b.keys))
+        block = np.full(len(head), t.column("block")[0].as_py())
+        return pa.table([pa.array(shard[head], pa.int32()), pa.array(block, pa.int32()), binary_column(b.keys.astype("<u8"), edge), *narrow(train, edge), *narrow(held, edge)], names=["shard", "block", "keys", *counts])
 
     @tidy
     def add(t: pa.Table) -> pa.Table:
-        parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in t.column("payload").combine_chunks()]
-        keys = [unplanes(p.column("keys")[0].as_py()) for p in parts]
-        u, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([widen(p.column(c)[0].as_py(), len(k)) for p, k in zip(parts, keys, strict=True)]), len(u)).astype(np.int64) for c in ("train", "held")]
+        raw, at = buffers(t.column("keys"))
+        u, of = np.unique(raw.view("<u8"), return_inverse=True)
+        sums = [np.bincount(of, widen(t.column(c), t.column(f"{c}_big")), len(u)).astype(np.int64) for c in ("train", "held")]
         is_word = (u & U(1)) == 1
         words = [int((sums[0][is_word] > 0).sum()), int(sums[0][is_word].sum()), int(sums[1][is_word].sum())]
-        cuts = np.cumsum([0, *map(len, keys)])
-        out = [encode_table(pa.table({"train": [narrow(sums[0][at[x:y]])], "held": [narrow(sums[1][at[x:y]])]})) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        n = len(out)
-        return pa.table([t.column("shard"), t.column("block"), pa.array(out, pa.binary()), *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in words)], names=["shard", "block", "payload", "words", "tokens", "held_tokens"])
+        n = len(t)
+        return pa.table([t.column("shard"), t.column("block"), *narrow(sums[0][of], at // 8), *narrow(sums[1][of], at // 8), *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in words)], names=["shard", "block", *counts, "words", "tokens", "held_tokens"])
 
     packed = pack_blocks(src, cols)
-    replies = packed.groupBy("block").applyInArrow(ask, ROW).groupBy("shard").applyInArrow(add, ROW + ", words long, tokens long, held_tokens long")
+    replies = packed.groupBy("block").applyInArrow(ask, ROW + "keys binary, " + answer).groupBy("shard").applyInArrow(add, ROW + answer + ", words long, tokens long, held_tokens long")
     replies = materialize(replies, "counts")
     vocabulary, tokens, held_tokens = (x or 0 for x in replies.agg(F.sum("words"), F.sum("tokens"), F.sum("held_tokens")).first())
-    replies = replies.select("shard", "block", "payload")
+    replies = replies.select("shard", "block", *counts)
 
-    def answered(b: Block, t: pa.Table):
-        edge = shard_edges(b.keys, shards)
-        train, held = np.zeros(len(b.keys), np.int64), np.zeros(len(b.keys), np.int64)
-        for s, p in zip(t.column("shard").to_pylist(), t.column("payload").combine_chunks(), strict=True):
-            x, y = edge[s], edge[s + 1]
-            got = pa.ipc.open_stream(p.as_buffer()).read_all()
-            train[x:y], held[x:y] = (widen(got.column(c)[0].as_py(), y - x) for c in ("train", "held"))
-        return train, held
+    def answered(t: pa.Table):
+        """Training and held-out counts of a block's keys, in order of shard and so of key."""
+        t = t.sort_by("shard")
+        return tuple(widen(t.column(c), t.column(f"{c}_big")) for c in ("train", "held"))
 
     @tidy
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int64())], names=["bucket", "s2", "s1", "n"])
         b = Block(left)
-        train, held = answered(b, right)
+        train, held = answered(right)
         rest = train - held
         v, w, vw = rest[b.context], rest[b.word], rest[b.pair]
         rows = np.stack((bucket_of(v), ratio_step(vw, v), ratio_step(w, float(max(1, tokens - held_tokens)))), 1)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         if not len(left):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         b = Block(left)
-        train, _ = answered(b, right)
+        train, _ = answered(right)
         v, w, vw = train[b.context], train[b.word], train[b.pair]
         lam = weights[bucket_of(v)]
         p = lam[:, 0] * vw / np.maximum(v, 1) + lam[:, 1] * w / max(tokens, 1) + lam[:, 2] / (vocabulary + 1)
