@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_written, materialize, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of links (a, b: long); loops are ignored."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    spark, mark = links.sparkSession, written()
     links = materialize(links, "links")
     before = _state(links)
     for _ in range(rounds):
@@ -27,6 +28,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = links.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialize(down.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         now = _state(links)
+        drop_written(spark, mark, keep=1)  # the round before
         if now == before:
             break
         before = now

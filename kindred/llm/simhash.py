@@ -21,6 +21,7 @@ rows share theirs; empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -239,9 +240,7 @@ def trie_links(classes: DataFrame, lanes: int, slices: int, budget: int, limit:
     bits = 64 * lanes // slices
     top = min(16, max(4, math.ceil(math.log2(max(1, count / LEAVES)))), bits)
     n_top = 1 << top
-    ids = np.arange(n_top, dtype=np.uint64)
-    near = np.bitwise_count(ids[:, None] ^ ids[None, :]) <= budget
-    to = [np.flatnonzero(near[b, : b + 1]) for b in range(n_top)]  # the tasks that need subtree b
+    flips = np.array(sorted(sum(1 << i for i in c) for k in range(min(budget, top) + 1) for c in itertools.combinations(range(top), k)), np.int64)
 
     def route(batches):
         held, size = [], 0
@@ -258,7 +257,8 @@ def trie_links(classes: DataFrame, lanes: int, slices: int, budget: int, limit:
                 for b in range(n_top):
                     part = order[edge[b] : edge[b + 1]]
                     if len(part):
-                        for a in to[b]:
+                        near = b ^ flips  # the tasks that need subtree b
+                        for a in near[near <= b]:
                             for r, v in zip(rows, (t * n_top + int(a), node[part].tobytes(), fp[part].tobytes()), strict=True):
                                 r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["task", "nodes", "prints"])
