@@ -4,7 +4,7 @@ Rules name a host suffix and a path prefix; the longest rule that fits decides.
 labelled ones: the trees learn the verdict from their lexical features (length, depth, digit ratio, entropy,
 number of parameters, share of blocked urls under the last one and two labels of the host) and judge the rest.
 Features, rules and trees are all built-in column expressions, so scoring stays inside the JVM; only at most
-SAMPLE labelled feature rows, in the order of a hash of the url, come to the driver for fitting the trees.  Block
+SAMPLE labelled feature rows, in the order of a hash of url and id, come to the driver for fitting the trees.  Block
 rates are counted over all labelled urls for every suffix: the LITERAL commonest suffixes are a map in the plan, the
 others are joined, so that a common suffix never is one task's join key.
 
@@ -15,6 +15,7 @@ repeated rows are judged each.
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
@@ -136,7 +137,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
     """Block rates over all rows with a verdict, and trees on at most ``sample`` of them."""
-    labelled = labelled.select("length", "depth", "digit_ratio", "entropy", "params", "s1", "s2", (F.col("verdict") == "block").cast("int").alias("y"), F.xxhash64("url").alias("k"), "url")
+    row = F.col("page_id") if "page_id" in labelled.columns else F.lit(0)
+    labelled = labelled.select("length", "depth", "digit_ratio", "entropy", "params", "s1", "s2", (F.col("verdict") == "block").cast("int").alias("y"), "url", row.alias("page_id")).withColumn("k", F.xxhash64("url", "page_id"))
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = float((blocked + 0.5) / (n + 2)) if n else 0.0
     if blocked in (0, n):
@@ -148,8 +150,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
         rates.append({r["other"]: r["rate"] for r in most[:LITERAL]})
         others.append(seen.where(~F.col("other").isin(list(rates[-1]))).select("other", "rate") if len(most) > LITERAL else None)
     model = Trees(0.0, [], rates, prior, others)
-    rows = model.with_suffix_rates(labelled.orderBy("k", "url").limit(sample)).select("k", "url", "y", *FEATURES).collect()
-    rows.sort(key=lambda r: (r["k"], r["url"]))
+    # A share of the rows by their hash, so that no task sends many more than are wanted.
+    few = labelled.where(F.pmod("k", F.lit(1 << 30)) < min(1 << 30, -(-(sample + 10 * math.isqrt(sample)) * (1 << 30) // n)))
+    rows = model.with_suffix_rates(few.orderBy("k", "url", "page_id").limit(sample)).select("k", "url", "page_id", "y", *FEATURES).collect()
+    rows.sort(key=lambda r: (r["k"], r["url"], r["page_id"] is not None, r["page_id"] or 0))
     x, y = np.array([[r[f] for f in FEATURES] for r in rows], float), np.array([r["y"] for r in rows], float)
     model.bias, model.trees = fit_trees(x, y)
     return model
