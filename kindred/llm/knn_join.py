@@ -8,7 +8,8 @@ q.p - |q| d for each listed distance d.  The (k + 1)-th best of those is a floor
 a floor.  Each pair of a query group and a block of a cell is solved locally; the few best per query are merged.
 Blocks and groups have at most BLOCK_ROWS and GROUP_ROWS rows, however many vectors share a cell.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of different
+Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part;
+scaled components beyond the range of long and scores beyond TOP become the last value of it; vectors of different
 lengths are compared over their common prefix (the rest counts as zero); ties go to the smaller vec_id; repeated
 ids are candidates each, except the query's own id; of query rows that share an id only the one with the smallest
 vector asks; fewer than k candidates give fewer rows.
@@ -21,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK_ROWS, GROUP_ROWS = 8192, 4096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 2048
+LOW_VALUES = 1 << 21
+TOP = (1 << 62) - 1  # the highest score; smaller than what marks a query's own rows
 
 
 def integer_vectors(df: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id and v, the floor of scale times each component, without unusable vectors."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return df.where(F.col(id_col).cast("long").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -48,9 +53,12 @@ def _matrix(col, dim: int) -> np.ndarray:
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in doubles while every sum fits 53 bits."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 2**53 else a @ b.T
+    """Exact integer inner products: in doubles while every sum fits 53 bits, else in whole numbers of any size, of
+    which those beyond TOP become TOP."""
+    top = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
+    if top < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T if top < TOP else np.clip(a.astype(object) @ b.astype(object).T, -TOP, TOP).astype(np.int64)
 
 
 def top_k(df: DataFrame, k: int = 20, query_mod: int = 20) -> DataFrame:
@@ -70,7 +78,7 @@ def top_k(df: DataFrame, k: int = 20, query_mod: int = 20) -> DataFrame:
             far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(far)], ["vec_id", "v", "cell", "far"])
 
-    placed = df.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<long>, cell int, far double")
+    placed = materialize(df.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<long>, cell int, far double"), "placed")
 
     def nearest(batches):
         held: dict[int, np.ndarray] = {}
@@ -118,12 +126,15 @@ def top_k(df: DataFrame, k: int = 20, query_mod: int = 20) -> DataFrame:
             q = _matrix(b.column(1), dim).astype(np.float64)
             cell, ids, copies = b.column(2).to_numpy(), b.column(0).to_numpy(), b.column(3).to_numpy()
             dot, norm = q @ pivots.T, np.sqrt((q * q).sum(1))
-            low = (dot[:, :, None] - norm[:, None, None] * near[None]).reshape(len(q), -1)
             floor = np.full(len(q), -np.inf)
-            for c in np.unique(copies):
-                at = low.shape[1] - k - int(c)
-                if at >= 0:
-                    floor[copies == c] = np.partition(low[copies == c], at, axis=1)[:, at]
+            step = max(1, LOW_VALUES // near.size)
+            for x in range(0, len(q), step):
+                low = (dot[x : x + step, :, None] - norm[x : x + step, None, None] * near[None]).reshape(-1, near.size)
+                mine = copies[x : x + step]
+                for c in np.unique(mine):
+                    at = near.size - k - int(c)
+                    if at >= 0:
+                        floor[x : x + step][mine == c] = np.partition(low[mine == c], at, axis=1)[:, at]
             floor = np.floor(floor - slack * (1 + np.abs(floor)))
             high = np.where(size > 0, dot + norm[:, None] * np.maximum(radius, 0), -np.inf)
             need = high + slack * (1 + np.abs(high)) >= floor[:, None]
@@ -146,7 +157,7 @@ def top_k(df: DataFrame, k: int = 20, query_mod: int = 20) -> DataFrame:
         for i in range(0, len(q) if len(x) else 0, 256):
             s = _dots(q[i : i + 256], x)
             own = q_ids[i : i + 256, None] == x_ids[None, :]
-            s = np.where(own, -(1 << 62), s)
+            s = np.where(own, -TOP - 1, s)
             best = _best(s, k)
             rows = np.repeat(np.arange(len(s)), best.shape[1])
             cols = best.ravel()
