@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 for piece in safe_pieces(t) if split else [t]:
                     held.append(piece)
                     owner.append(k)
-                    size += len(piece)
+                    size += len(piece.encode())
                     if size >= BATCH_BYTES:
                         flush()
                         size = 0
