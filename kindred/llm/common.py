@@ -12,6 +12,7 @@ operators:
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 
 import numpy as np
@@ -54,10 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; where that is unset, a folder
+    of this machine if Spark runs on it alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "/tmp/kindred-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{tempfile.gettempdir()}/kindred-checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -68,9 +72,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """How many folders are there that ``materialize`` wrote and nobody dropped."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the folders written after the first ``since``, but for the last ``keep``.  Only what was read from them
+    into something that is itself written may be dropped."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """Bytes of all texts: sizes blocks and shards, which therefore grow in number, not in size."""
     return docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
