@@ -8,7 +8,7 @@ from .functions import lexicons as X
 from .plans.profiles import PROFILES, Profile
 from .sources import fixtures
 
-FIRMS = f"records AS ({fixtures.FIRMS.format(part='part')})"
+FIRMS = f"records AS ({fixtures.FIRMS.format(part='(SELECT p_partkey AS k FROM part)')})"
 FIRM_TRUTH = "truth AS (SELECT a.entity_id AS s1, b.entity_id AS cid FROM records a JOIN records b ON a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' AND CAST(floor(CAST(split_part(a.entity_id, '-', 2) AS BIGINT) / 4) AS BIGINT) = CAST(floor(CAST(split_part(b.entity_id, '-', 2) AS BIGINT) / 4) AS BIGINT))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PART = """
 SELECT concat('S', 1 + p_partkey % 3, '-', p_partkey) AS entity_id, p_name AS business_name,
@@ -39,7 +40,7 @@ def _pick(words: str, at: str) -> str:
     return _PICK.format(list=words, at=at, n=words.count(",") + 1)
 
 
-_BRAND = f"concat({_pick('Arav,Bela,Corin,Delt,Etna,Fargo,Gitan,Himal,Indus,Jayan', 'e')}, {_pick('soft,mart,chem,lines,works,trade,foods,steel,power,media,craft', 'CAST(floor(e / 10) AS BIGINT)')})"
+_BRAND = f"concat({_pick('Arav,Bela,Corin,Delt,Etna,Fargo,Gitan,Himal,Indus,Jayan', 'e')}, {_pick('soft,mart,chem,lines,works,trade,foods,steel,power,media,craft', 'CAST(floor(e / 10) AS BIGINT)')}, {_pick(',ia,on,el,um,ora,ex,ix,ano,eta', 'CAST(floor(e / 110) AS BIGINT)')})"
 _SECOND = _pick("Global,United,Prime,Royal,Om,Sai,North Star", "e")
 _KIND = _pick("Foods,Motors,Exports,Metals,Textiles", "e")
 _STREET = _pick("Lotus,Station,Temple,Church,Market,Garden,Palm,Hill,Rampur", "e")
@@ -72,11 +73,16 @@ FROM (SELECT k, e, v, {_BRAND} AS brand, {_SECOND} AS second, {_KIND} AS kind, {
     CASE WHEN e % 5 < 3 THEN {_INDIA} WHEN e % 5 = 3 THEN {_US} ELSE {_FRANCE} END AS place,
     CASE WHEN e % 5 < 3 THEN 400000 + e % 60 WHEN e % 5 = 3 THEN 70000 + e % 60 ELSE 69000 + e % 60 END AS post,
     CASE WHEN e % 5 < 3 THEN 'India' WHEN e % 5 = 3 THEN 'US' ELSE 'France' END AS country
-  FROM (SELECT p_partkey AS k, CAST(floor(p_partkey / 4) AS BIGINT) % 300 AS e, p_partkey % 4 AS v FROM {{part}}) a) b"""
+  FROM (SELECT k, CAST(floor(k / 4) AS BIGINT) % 300 + 300 * CAST(floor(k / 4800) AS BIGINT) AS e, k % 4 AS v FROM {{part}}) a) b"""
 
 
 def firm_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FIRMS, part=spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
+    return firms_of(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")))
+
+
+def firms_of(numbers: DataFrame) -> DataFrame:
+    """Firm records of the numbers k: about four entities share each name and place, however many there are."""
+    return numbers.sparkSession.sql(FIRMS, part=numbers)
 
 
 def firm_truth(records: DataFrame) -> DataFrame:
