@@ -190,8 +190,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
 # Blocks -----------------------------------------------------------------------------------------------------
 
 
-def with_block(docs: DataFrame, blocks: int, id_col: str = "doc_id") -> DataFrame:
-    return docs.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
+def with_block(docs: DataFrame, blocks: int, *cols: str) -> DataFrame:
+    """Rows with a block each; id and text decide, so that many texts of one id (or of none) span many blocks."""
+    return docs.withColumn("block", F.pmod(F.xxhash64(*(cols or ("doc_id", "text"))), F.lit(blocks)).cast("int"))
 
 
 def pack_blocks(docs: DataFrame, cols: list[str], flush: int = 12_000_000) -> DataFrame:

@@ -146,7 +146,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     blocks, shards = n_blocks(total), max(64, -(-total // SHARD_BYTES))
     # The held fold has blocks of its own, after the others, so that learning reads these alone.
     held_blocks = -(-blocks // mod)
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text")  # many texts of one id, or of none, span many blocks
     src = src.withColumn("block", F.when(F.col("fold") == HELD_FOLD, blocks + F.pmod(h, F.lit(held_blocks))).otherwise(F.pmod(h, F.lit(blocks))).cast("int"))
     cols = ["doc_id", "text", "fold"]
 
