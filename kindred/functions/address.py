@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as X
-from .text import words
+from .text import listed, words
 
 
 def _ascii_digits(x: Column) -> Column:
@@ -36,7 +36,7 @@ def postal_code(addr: Column, country: Column | None = None) -> Column:
 
 
 def _plain(tokens: Column, least: int, stop: list[str]) -> Column:
-    drop = F.array(*[F.lit(w) for w in stop])
+    drop = listed(stop)
     return F.filter(tokens, lambda t: (F.length(t) >= least) & ~F.array_contains(drop, t) & ~t.rlike("^[0-9]+$"))
 
 
@@ -49,12 +49,12 @@ def address_tokens(na: Column, stop: list[str]) -> Column:
 
 
 def _first_of(tokens: Column, among: list[str]) -> Column:
-    known = F.array(*[F.lit(w) for w in among])
+    known = listed(among)
     return F.get(F.filter(tokens, lambda t: F.array_contains(known, t)), F.lit(0))
 
 
 def _mapped(tokens: Column, table: dict[str, str]) -> Column:
-    literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    literal = F.str_to_map(F.lit("|".join(f"{k}:{v}" for k, v in table.items())), F.lit(r"\|"), F.lit(":"))
     return F.try_element_at(literal, _first_of(tokens, list(table)))
 
 
