@@ -69,9 +69,9 @@ SELECT concat(CASE v WHEN 0 THEN 'S1-' WHEN 3 THEN 'S3-' ELSE 'S2-' END, k) AS e
     CASE WHEN v > 0 AND (e + v) % 19 = 5 THEN 'Patna Bihar' ELSE place END,
     CASE WHEN (e + 2 * v) % 4 = 1 THEN '' ELSE concat(' ', post + CASE WHEN v > 0 AND (e + v) % 23 = 7 THEN 1 ELSE 0 END) END) END AS business_address,
   country
-FROM (SELECT k, e, v, {_BRAND} AS brand, {_SECOND} AS second, {_KIND} AS kind, {_STREET} AS street, 1 + (e * 7) % 90 AS n,
+FROM (SELECT k, e, v, {_BRAND} AS brand, {_SECOND} AS second, {_KIND} AS kind, {_STREET} AS street, 1 + (e * 7) % 90 + 90 * CAST(floor(e / 300) AS BIGINT) AS n,
     CASE WHEN e % 5 < 3 THEN {_INDIA} WHEN e % 5 = 3 THEN {_US} ELSE {_FRANCE} END AS place,
-    CASE WHEN e % 5 < 3 THEN 400000 + e % 60 WHEN e % 5 = 3 THEN 70000 + e % 60 ELSE 69000 + e % 60 END AS post,
+    CASE WHEN e % 5 < 3 THEN 400000 WHEN e % 5 = 3 THEN 70000 ELSE 69000 END + e % 60 + 60 * CAST(floor(e / 300) AS BIGINT) AS post,
     CASE WHEN e % 5 < 3 THEN 'India' WHEN e % 5 = 3 THEN 'US' ELSE 'France' END AS country
   FROM (SELECT k, CAST(floor(k / 4) AS BIGINT) % 300 + 300 * CAST(floor(k / 4800) AS BIGINT) AS e, k % 4 AS v FROM {{part}}) a) b"""
 
