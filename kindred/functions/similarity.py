@@ -18,6 +18,16 @@ class Side:
         return F.col(self._prefix + name)
 
 
+class Fields(Side):
+    """Fields of a struct: ``side.b_num`` is its ``b_num``."""
+
+    def __init__(self, x: Column):
+        self._x = x
+
+    def __getattr__(self, name: str) -> Column:
+        return self._x[name]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 

@@ -18,10 +18,11 @@ FEATURES = ["nn", "core", "sorted_core", "flat", "toks", "grams", "b_num", "post
 CHANNEL_ORDER = ["exact", "spaceless", "core", "sorted", "prefix", "number_token", "anchor", "token_street", "sound_street", "brand_state", "pin", "two_words", "number_tokens"]
 
 
-def with_features(df: DataFrame, p: Profile) -> DataFrame:
-    """entity_id, src, country and the features of each record; records without a name or country go."""
+def with_features(df: DataFrame, p: Profile, carry: tuple[str, ...] = ()) -> DataFrame:
+    """entity_id, src, country, the features of each record and the columns carry; records without a name or country
+    go."""
     legal, stop = list(p.legal), list(p.stop)
-    df = df.select("entity_id", F.substring_index("entity_id", "-", 1).alias("src"), F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), F.coalesce("business_name", F.lit("")).alias("name"), F.coalesce("business_address", F.lit("")).alias("addr"))
+    df = df.select("entity_id", F.substring_index("entity_id", "-", 1).alias("src"), F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), F.coalesce("business_name", F.lit("")).alias("name"), F.coalesce("business_address", F.lit("")).alias("addr"), *carry)
     df = df.withColumns({"nn": T.normalize(F.col("name"), p.normalizer, p.accents), "na": F.coalesce(T.normalize(F.col("addr"), p.normalizer, p.accents), F.lit(""))})
     df = df.where("nn is not null and nn <> '' and country <> ''")
     nn, na, addr = F.col("nn"), F.col("na"), F.col("addr")
@@ -100,6 +101,15 @@ def candidates(features: DataFrame, p: Profile) -> DataFrame:
     return left.select(*by, F.col("entity_id").alias("s1"), *(["bucket"] if p.index_side != "targets" else [])).join(right.select(*by, F.col("entity_id").alias("cid"), "src", *(["bucket"] if p.index_side == "targets" else [])), by).select("s1", "cid", "src", "channel", "bucket")
 
 
+def usable(features: DataFrame, p: Profile) -> DataFrame:
+    """Postings (entity_id, src, country, channel, key) of both sides after the profile's caps and suppression: the
+    candidates are the pairs that share a key."""
+    k = keys(features, p)
+    ref, targets = k.where("src = 'S1'"), k.where("src <> 'S1'")
+    one, other = (targets, ref) if p.index_side == "targets" else (ref, targets)
+    return bounded(one, p).select(*other.columns).unionByName(other)
+
+
 def paired(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Pairs with the features of both sides, l_ for the reference and r_ for the target.  A pair with several
     channels meets its features once."""

@@ -26,10 +26,10 @@ def _chain(*rules: tuple[Column, Column | int]) -> Column:
     return out.otherwise(0)
 
 
-def _evidence(number: int, post: int, shared: int | None, other: int) -> Column:
-    rules = [(S.same_number(L, R), number), (S.same(L.post, R.post), post)]
+def _evidence(number: int, post: int, shared: int | None, other: int, l: S.Side = L, r: S.Side = R) -> Column:
+    rules = [(S.same_number(l, r), number), (S.same(l.post, r.post), post)]
     if shared is not None:
-        rules.append((S.shared_address(L, R), shared))
+        rules.append((S.shared_address(l, r), shared))
     return _chain(*rules, (F.lit(True), other))
 
 

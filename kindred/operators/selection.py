@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocking import CHANNEL_ORDER
@@ -18,6 +18,11 @@ def max_merge(df: DataFrame) -> DataFrame:
     return df.groupBy(*PAIR).agg(F.max("score").alias("score"))
 
 
+def merged(*scores: Column) -> Column:
+    """``max_merge`` of channels that score a pair in one row; null is a channel without the pair."""
+    return F.greatest(*scores)
+
+
 def channel_rank():
     return F.array_position(F.array(*[F.lit(c) for c in CHANNEL_ORDER]), F.col("channel"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART = """
@@ -26,6 +26,12 @@ def part_truth(records: DataFrame) -> DataFrame:
     return a.join(b, ["business_name", "p_brand", "country"]).select("s1", "cid")
 
 
+def part_key() -> Column:
+    """Records with equal keys are true pairs of ``part_truth``; null for a record without any."""
+    cols = ["business_name", "p_brand", "country"]
+    return F.when(F.concat(*cols).isNotNull(), F.struct(*cols))
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return df.selectExpr("concat('S', 1 + doc_id % 3, '-', doc_id) AS entity_id", "array_join(slice(split(trim(lower(text)), '\\\\s+'), 1, 6), ' ') AS business_name", "'' AS business_address", "lang AS country")
