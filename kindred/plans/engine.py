@@ -61,9 +61,26 @@ def select(pairs: DataFrame, p: Profile) -> DataFrame:
     return merged.withColumn("rank", F.lit(1))
 
 
+def equal_names(records: DataFrame, p: Profile) -> DataFrame:
+    """``match`` of a profile that takes every pair of equal keys: the targets of a key are one list, made once and
+    shared by its reference records, instead of a row a pair."""
+    by = ["country", "channel", "key"]
+    postings = kept(blocking.keys(blocking.with_features(records, p), p))
+    found = postings.where("src <> 'S1'").groupBy(*by).agg(F.sort_array(F.collect_set("entity_id")).alias("ids"))
+    own = postings.where("src = 'S1'").groupBy("entity_id").agg(F.collect_set(F.struct(*by)).alias("keys"))
+    ref = records.where("entity_id like 'S1-%'").select("entity_id").distinct().join(own, "entity_id", "left").withColumn("n", F.coalesce(F.size("keys"), F.lit(0)))
+    one = ref.where("n <= 1").withColumn("k", F.get("keys", F.lit(0))).select("entity_id", "k.*").join(found, by, "left").select("entity_id", "ids")
+    many = ref.where("n > 1").select("entity_id", F.explode("keys").alias("k")).select("entity_id", "k.*").join(found, by)
+    many = many.groupBy("entity_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))  # rows that share an id
+    many = ref.where("n > 1").select("entity_id").join(many, "entity_id", "left")
+    return one.unionByName(many).select(F.col("entity_id").alias("source1_entity_id"), F.coalesce("ids", F.array().cast("array<string>")).alias("matched_entity_ids"))
+
+
 def match(records: DataFrame, profile: Profile | str) -> DataFrame:
     """source1_entity_id and matched_entity_ids (array) for every reference record."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
+    if p.channels == ("exact",) and (p.scorer, p.merge, p.index_side) == ("equal", "max", "targets") and not (p.gate or p.caps or p.suppress or p.top or p.tiers or p.match_cap or p.threshold > 100):
+        return equal_names(records, p)
     _, pairs = scored_pairs(records, p)
     reference = records.where("entity_id like 'S1-%'").select("entity_id").distinct()
     return selection.lists(select(pairs, p), reference, ranked=p.index_side == "reference")
