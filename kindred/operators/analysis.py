@@ -72,13 +72,15 @@ def lost_pairs(true: DataFrame, accepted: DataFrame, seen: DataFrame) -> DataFra
 
 def grid(pairs: DataFrame, truth: DataFrame, configs: dict[str, Column], choose) -> DataFrame:
     """entities, precision, recall, f_half of each configuration: a filter of scored pairs, then ``choose``.
-    truth: (id, ids array) of every reference record."""
-    out = None
-    for name, keep in configs.items():
-        got = choose(pairs.where(keep)).groupBy(F.col("s1").alias("id")).agg(F.collect_set("cid").alias("ids"))
-        row = metrics.included_f(metrics.per_entity(got, truth)).select(F.lit(name).alias("config"), "included", "precision", "recall", "f_half")
-        out = row if out is None else out.unionAll(row)
-    return out
+    truth: (id, ids array) of every reference record.  All configurations go through one plan, whose s1 is a struct of
+    configuration and id, so that pairs are made once and neither plan nor broadcasts grow with the configurations."""
+    names = lambda *cols: truth.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in configs])).alias("config"), *cols)
+    passed = F.explode(F.array_compact(F.array(*[F.when(keep, F.lit(name)) for name, keep in configs.items()])))
+    tagged = pairs.withColumn("config", passed).withColumn("s1", F.struct("config", "s1")).drop("config")
+    got = choose(tagged).groupBy(F.col("s1").alias("id")).agg(F.collect_set("cid").alias("ids"))
+    every = truth.crossJoin(F.broadcast(names())).select(F.struct("config", F.col("id").alias("s1")).alias("id"), "ids")
+    found = metrics.included_f(metrics.per_entity(got, every).withColumn("config", F.col("id.config")), ["config"])
+    return names().join(found, "config", "left").select("config", F.coalesce("included", F.lit(0)).alias("included"), "precision", "recall", "f_half")
 
 
 def strategies(pairs: DataFrame, truth: DataFrame, rules: dict[str, tuple[Column, int]]) -> DataFrame:
