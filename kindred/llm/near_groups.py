@@ -1,6 +1,7 @@
 """Near-duplicate groups by the exact Jaccard similarity of word shingles.
 
-Texts of equal shingle sets are one node.  A node has BANDS keys, each made of ROWS minimum hashes of its set; two
+Texts of equal shingle sets are one node.  Candidates come from the binary trie self-join of ``simhash``, over slices of
+the nodes' SimHash fingerprints, and from minimum hashes, since the tries alone miss pairs.  A node has BANDS keys, each made of ROWS minimum hashes of its set; two
 sets of similarity s share a key with chance 1 - (1 - s**ROWS)**BANDS, which at 0.8 leaves out one pair in some
 1.7 million, for short and long texts alike.  (The tries of ``simhash`` would need 6 of 32 bits a slice to be as good
 as exhaustive, where they prune hardly anything.)  Nodes that share a key are candidates if their sizes allow the
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import U, buffers, decode_table, encode_table, materialize, mix, pieces, tidy
 from .components import components
-from .simhash import Union, fingerprints, near_limit, shingle_hashes
+from .simhash import Union, fingerprints, near_limit, shingle_hashes, trie_links
 
-LANES = 4
+#: Slices of the fingerprint that the tries are walked for, and the bits that a slice may differ in.
+LANES, SLICES, BUDGET = 4, 8, 3
 BANDS, ROWS = 20, 3
 KEYS_PER_TASK = 200_000
 GROUP_BYTES = 8_000_000
@@ -175,7 +177,15 @@ def near_groups(docs: DataFrame, words: int, similarity: float, id_col: str = "d
 
 
 def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes that may be similar: a forest over all such pairs, by task."""
+    """Links (a, b) of nodes that may be similar: those of the trie self-join over SLICES slices of the fingerprints,
+    and those of the minimum hashes, which have the pairs that the tries miss."""
+    full = classes.where("n > 0")
+    tries = trie_links(full.select("node", "fp"), LANES, SLICES, BUDGET, bit_limit(similarity, 64 * LANES), classes.count())
+    return tries.select("a", "b").unionAll(key_links(full, similarity).select("a", "b"))
+
+
+def key_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes that share a key of minimum hashes: a forest over all such pairs, by task."""
     tasks = max(24, -(-BANDS * classes.count() // KEYS_PER_TASK))
     limit = bit_limit(similarity, 64 * LANES)
 

@@ -104,3 +104,15 @@ def test_one_id_with_two_texts(spark):
     want = [(1, a, "x"), (5, c, "y"), (7, "one two", "w"), (7, "three four", "z")]
     for parts in (1, 3):
         assert sorted(tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, df.repartition(parts), "").collect()) == want
+
+
+def test_candidates_come_from_the_tries_too(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (40, near_groups.LANES), dtype=np.uint64)
+    close = base.copy()
+    close[:, 0] ^= np.uint64(1 << 7)  # one bit apart, and no key of minimum hashes in common
+    keys = rng.integers(0, 1 << 63, (80, near_groups.BANDS), dtype=np.uint64)
+    rows = [(i, bytearray(fp.astype(">u8").tobytes()), bytearray(k.tobytes()), 10) for i, (fp, k) in enumerate(zip(np.concatenate((base, close)), keys, strict=True))]
+    classes = spark.createDataFrame(rows, "node long, fp binary, bands binary, n long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in near_groups.candidate_links(classes, 0.8).collect()}
+    assert {(i, i + 40) for i in range(40)} <= got
