@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U, buffers, decode_table, encode_table, materialize, mix, pieces, tidy
 from .components import components
-from .simhash import Union, fingerprints, near_limit, shingle_hashes, trie_links
+from .simhash import Union, fingerprints, near_limit, shingle_hashes, star, trie_links
 
 #: Slices of the fingerprint that the tries are walked for, and the bits that a slice may differ in.
 LANES, SLICES, BUDGET = 4, 8, 3
@@ -236,8 +236,7 @@ def key_links(classes: DataFrame, similarity: float) -> DataFrame:
             i, j = i[good], j[good]
             good = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= limit
             union.add(i[good], j[good])
-        linked = np.flatnonzero(union.root != np.arange(len(node)))
-        return pa.table([pa.array(node[linked], pa.int64()), pa.array(node[union.root[linked]], pa.int64())], names=["a", "b"])
+        return star(node, union.root)
 
     sent = classes.where("n > 0").select("node", "n", "fp", "bands").mapInArrow(route, "task int, keys binary, at binary, nodes binary, n binary, prints binary")
     return sent.groupBy("task").applyInArrow(solve, "a long, b long")

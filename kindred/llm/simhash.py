@@ -211,6 +211,16 @@ class Union:
             self.root = parent[self.root]
 
 
+def star(node: np.ndarray, root: np.ndarray) -> pa.Table:
+    """Links (a, b) of each position to the smallest node of its component.  Tasks that see one group name one node for
+    it, so their links are equal rows and a dense group doesn't come with a link a node from every task."""
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    b = least[root]
+    linked = np.flatnonzero(b != node)
+    return pa.table([pa.array(node[linked], pa.int64()), pa.array(b[linked], pa.int64())], names=["a", "b"])
+
+
 def link_keys(keys: np.ndarray, prints: np.ndarray | None, bits: int, top: int, prefix: int, budget: int, limit: int | None) -> np.ndarray:
     """Root of each position (keys sorted): those of the subtree of ``prefix`` against it and the subtrees above."""
     trie, union = Trie(keys, bits), Union(len(keys))
@@ -282,9 +292,7 @@ def trie_links(classes: DataFrame, lanes: int, slices: int, budget: int, limit:
         key = lane[:, 0] if slices == 1 else np.ascontiguousarray(raw).view(f">u{bits // 8}").reshape(-1, slices)[:, task // n_top].astype(np.uint64)
         order = np.lexsort((node, key))
         root = link_keys(key[order], lane[order] if limit is not None else None, bits, top, task % n_top, budget, limit)
-        node = node[order]
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table([pa.array(node[linked], pa.int64()), pa.array(node[root[linked]], pa.int64())], names=["a", "b"])
+        return star(node[order], root)
 
     sent = classes.select("node", "fp").where("node is not null").mapInArrow(route, "task int, nodes binary, prints binary")
     return sent.groupBy("task").applyInArrow(solve, "a long, b long")

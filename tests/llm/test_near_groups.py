@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from kindred.llm import near_groups
+from kindred.llm.components import components
 
 
 def _set(t, words=5):
@@ -116,3 +118,19 @@ def test_candidates_come_from_the_tries_too(spark, monkeypatch):
     classes = spark.createDataFrame(rows, "node long, fp binary, bands binary, n long")
     got = {tuple(sorted((r["a"], r["b"]))) for r in near_groups.candidate_links(classes, 0.8).collect()}
     assert {(i, i + 40) for i in range(40)} <= got
+
+
+def test_dense_groups_have_few_links(spark):
+    """Each of 28 tries and keys connects a group of near copies; their links name one node for it."""
+    rng = random.Random(5)
+    base = [f"t{rng.randint(0, 10**9)}" for _ in range(124)]
+    texts = []
+    for i in range(400):
+        texts.append(" ".join(base[: (at := rng.randrange(124))] + [f"u{i}"] + base[at + 1 :]))
+    sets = list(near_groups.shingle_sets(pa.array(texts), 5))
+    prints = near_groups.fingerprints(pa.array(texts), 5, near_groups.LANES).astype(">u8")
+    nodes = random.Random(6).sample(range(1 << 62), 400)
+    rows = [(k, bytearray(f.tobytes()), bytearray(b.tobytes()), len(s)) for k, f, b, s in zip(nodes, prints, near_groups.band_keys(sets), sets, strict=True)]
+    links = near_groups.candidate_links(spark.createDataFrame(rows, "node long, fp binary, bands binary, n long"), 0.8).distinct()
+    assert links.count() < 8 * 400  # 27 a node when each task named a node of its own
+    assert components(links).select("component").distinct().count() == 1
