@@ -89,11 +89,14 @@ def tiered(df: DataFrame, tiers: tuple[tuple[int, int], ...]) -> DataFrame:
     return df.where(keep)
 
 
-def lists(df: DataFrame, reference: DataFrame, ranked: bool, name: str = "matched_entity_ids") -> DataFrame:
-    """One row a reference id, with its ids as an array (empty if none): by source and rank, or sorted."""
+def lists(df: DataFrame, reference: DataFrame | None, ranked: bool, name: str = "matched_entity_ids") -> DataFrame:
+    """One row a reference id, with its ids as an array (empty if none): by source and rank, or sorted.  Without a
+    reference, the ids that have a match."""
     item = F.struct("src", "rank", "cid") if ranked else F.struct("cid")
     got = df.groupBy("s1").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["cid"]).alias(name))
-    return reference.select(F.col("entity_id").alias("s1")).join(got, "s1", "left").select(F.col("s1").alias("source1_entity_id"), F.coalesce(name, F.array().cast("array<string>")).alias(name))
+    if reference is not None:
+        got = reference.select(F.col("entity_id").alias("s1")).join(got, "s1", "left")
+    return got.select(F.col("s1").alias("source1_entity_id"), F.coalesce(name, F.array().cast("array<string>")).alias(name))
 
 
 def prune(df: DataFrame, n: int, col: str = "matched_entity_ids") -> DataFrame:
