@@ -56,6 +56,10 @@ def number_near(l: Side, r: Side, band: int = 2) -> Column:
     return (l.b_num > 0) & (r.b_num > 0) & (F.abs(l.b_num - r.b_num) <= band)
 
 
+def number_far(l: Side, r: Side) -> Column:
+    return (l.b_num > 0) & (r.b_num > 0) & (F.abs(l.b_num - r.b_num) > 2)
+
+
 def number_missing(l: Side, r: Side) -> Column:
     return (l.b_num == 0) | (r.b_num == 0)
 
@@ -64,13 +68,14 @@ def shared_address(l: Side, r: Side) -> Column:
     return F.arrays_overlap(l.a_toks, r.a_toks)
 
 
+def near_address(l: Side, r: Side) -> Column:
+    return (F.size(F.array_intersect(l.a_toks, r.a_toks)) >= 2) | (jaccard(l.a_toks, r.a_toks) >= 0.25)
+
+
 def vetoes(l: Side, r: Side, relaxed: bool = False) -> dict[str, Column]:
     """Reasons to reject a pair, in order: state, metro, postcode, building."""
     split = F.array_sort(F.array(l.state, r.state)) == F.array(F.lit("andhra pradesh"), F.lit("telangana"))
-    far = (l.b_num > 0) & (r.b_num > 0) & (F.abs(l.b_num - r.b_num) > 2)
-    if relaxed:
-        near = (F.size(F.array_intersect(l.a_toks, r.a_toks)) >= 2) | (jaccard(l.a_toks, r.a_toks) >= 0.25)
-        far = far & ~near
+    far = number_far(l, r) & ~near_address(l, r) if relaxed else number_far(l, r)
     return {
         "state": differ(l.state, r.state) & ~(split & shared_address(l, r)),
         "metro": differ(l.metro, r.metro),
